@@ -7,8 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, license_scan, sharding
-from .common import read
+from . import bpe, chat, gbt_quality, license_scan, sharding, toxicity
+from .common import crc_mod, read
+
+
+def _judged(scored: DataFrame, modulus: int, held: int) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        F.coalesce(crc_mod(F.col("doc_id"), modulus) == held, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op3_gbt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = gbt_quality.fit(docs, read(spark, sf_dir, "labels"), "quality", 4, 2)
+    return _judged(gbt_quality.classify(docs, model), 4, 2)
+
+
+def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), "toxic", 3, 1)
+    return _judged(toxicity.classify(docs, model), 3, 1)
+
+
+def op6_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(read(spark, sf_dir, "documents"))
 
 
 def op5_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +53,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_chat_trees, op7_sampled_splitters, op8_license_scan)}
+    return {f.__name__: f for f in (op3_gbt_quality, op5_chat_trees, op6_backtracking_bpe, op7_sampled_splitters, op8_license_scan, op10_subword_toxicity)}
 
 
 _OP5 = r"""
