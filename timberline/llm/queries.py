@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gbt_quality, license_scan, sharding, toxicity
+from . import bpe, chat, fm_decontaminate, gbt_quality, license_scan, sharding, toxicity
 from .common import crc_mod, read
 
 
@@ -20,6 +20,10 @@ def _judged(scored: DataFrame, modulus: int, held: int) -> DataFrame:
     )
 
 
+def op2_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_decontaminate.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_gbt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = gbt_quality.fit(docs, read(spark, sf_dir, "labels"), "quality", 4, 2)
@@ -53,8 +57,30 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_gbt_quality, op5_chat_trees, op6_backtracking_bpe, op7_sampled_splitters, op8_license_scan, op10_subword_toxicity)}
+    return {f.__name__: f for f in (op2_fm_decontamination, op3_gbt_quality, op5_chat_trees, op6_backtracking_bpe, op7_sampled_splitters, op8_license_scan, op10_subword_toxicity)}
+
 
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP2 = f"""
+with b as (select item_id, {_WORDS.format(_LOWER)} as w from benchmark),
+wins as (
+  select item_id, unnest(case when len(w) < 13 then [array_to_string(w, ' ')]
+    else list_transform(range(len(w) - 12), lambda i: array_to_string(w[i + 1:i + 13], ' ')) end) as win, least(len(w), 13) as k
+  from b where len(w) > 0),
+d as (select row_number() over () as r, doc_id, {_WORDS.format(_LOWER)} as w from documents),
+lens as (select distinct k from wins),
+places as (
+  select r, k, unnest(range(len(w) - k + 1)) as i, unnest(list_transform(range(len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))) as win
+  from d, lens where len(w) >= k),
+found as (select r, i, places.k, item_id from places join wins using (win)),
+hit as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + k)) as p from found) group by r),
+items as (select r, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as l from found group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(l, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit using (r) left join items using (r)
+"""
 
 _OP5 = r"""
 with turns as (
@@ -100,4 +126,4 @@ from e left join base using (doc_id) left join method using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_trees": _OP5, "op8_license_scan": _op8()}
+    return {"op2_fm_decontamination": _OP2, "op5_chat_trees": _OP5, "op8_license_scan": _op8()}
