@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fm_decontaminate, gbt_quality, license_scan, sharding, toxicity
+from . import bpe, chat, fm_decontaminate, gbt_quality, license_scan, parity_join, sharding, toxicity
 from .common import crc_mod, read
 
 
@@ -56,8 +56,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents")).drop("matches")
 
 
+def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.link(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class", "n_links")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fm_decontamination, op3_gbt_quality, op5_chat_trees, op6_backtracking_bpe, op7_sampled_splitters, op8_license_scan, op10_subword_toxicity)}
+    return {f.__name__: f for f in (op2_fm_decontamination, op3_gbt_quality, op5_chat_trees, op6_backtracking_bpe, op7_sampled_splitters, op8_license_scan, op9_parity_join, op10_subword_toxicity)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
