@@ -21,7 +21,6 @@ _LOWER_WORDS = bytes(
 #: The same classes as a Java/RE2 regular expression, for text already lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ASCII_SPACE = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,18 +58,6 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER_WORDS).split() if text else []
 
 
-def space_words(text: str | None) -> list[bytes]:
-    """Words of a text unchanged, split at ASCII white space (09-0D, 20), as UTF-8."""
-    if not text:
-        return []
-    return [w for w in text.encode("utf-8", "surrogatepass").translate(_ASCII_SPACE).split(b" ") if w]
-
-
-def ascii_lower(text: str) -> bytes:
-    """UTF-8 of a text with A-Z in lower case (bytes.lower leaves everything but A-Z alone)."""
-    return text.encode("utf-8", "surrogatepass").lower()
-
-
 def sha_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

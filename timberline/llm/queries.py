@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fm_decontaminate, gbt_quality, license_scan, parity_join, sharding, toxicity
+from . import bpe, chat, fm_decontaminate, gbt_quality, license_scan, parity_join, rlz_dedup, sharding, toxicity
 from .common import crc_mod, read
 
 
@@ -40,6 +40,10 @@ def op6_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"))
 
 
+def op4_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz_dedup.digest(read(spark, sf_dir, "documents"))
+
+
 def op5_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -61,7 +65,7 @@ def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fm_decontamination, op3_gbt_quality, op5_chat_trees, op6_backtracking_bpe, op7_sampled_splitters, op8_license_scan, op9_parity_join, op10_subword_toxicity)}
+    return {f.__name__: f for f in (op2_fm_decontamination, op3_gbt_quality, op4_rlz_dedup, op5_chat_trees, op6_backtracking_bpe, op7_sampled_splitters, op8_license_scan, op9_parity_join, op10_subword_toxicity)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
