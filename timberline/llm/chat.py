@@ -6,7 +6,7 @@ becomes one conversation. The template marks turns with control strings; control
 a backslash put between their first two characters, which is undone on reading, so any text survives.
 
 A path is one string in the end, so one conversation must fit into one task; nothing larger is gathered. Defined
-cases: null text or role is empty; a parent that does not exist makes a root; nodes on a cycle are no path; ties of
+cases: null text or role is empty; a parent that does not exist makes a root; replies in a cycle, and what leads to one, are cut off; ties of
 turn follow role, then text; repeated rows are turns of their own; empty tables give no rows; other columns are ignored.
 """
 
@@ -68,27 +68,37 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """nodes (tree, node, parent) -> (tree, leaf, node, dist): each leaf's path to its root, the leaf at distance 0."""
+    """nodes (tree, node, parent) -> (tree, leaf, node, dist): each leaf's path to its root, the leaf at distance 0.
+
+    Rows of two kinds share one join a round: hops (start, its 2^k-th ancestor) and places on paths (leaf, ancestor).
+    A parent that is no node ends up on a path, too; a join with the nodes drops it.
+    """
     nodes = nodes.select("tree", "node", "parent")
-    known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    linked = nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"))
-    up = materialize(linked, "chat-up")
-    parents = up.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = up.join(parents, ["tree", "node"], "left_anti")
-    found = materialize(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist")), "chat-paths")
-    size = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    step = 1
-    while step < size:
-        hop = up.where("up is not null")
-        further = found.join(hop, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("dist") + step).alias("dist"))
-        grown = materialize(found.unionByName(further), "chat-paths")
-        twice = hop.select("tree", "node", F.col("up").alias("mid")).join(
-            hop.select("tree", F.col("node").alias("mid"), "up"), ["tree", "mid"]
-        )
-        found, up, step = grown, materialize(twice.select("tree", "node", "up"), "chat-up"), 2 * step
-        if up.isEmpty():
+    up = nodes.where("parent is not null")
+    own = nodes.select("tree", "node", F.lit(1).alias("own"), F.lit(0).alias("child"))
+    marks = own.union(up.select("tree", F.col("parent").alias("node"), F.lit(0), F.lit(1)))
+    leaves = marks.groupBy("tree", "node").agg(F.max("own").alias("own"), F.max("child").alias("child")).where("own = 1 and child = 0")
+    hops = up.select("tree", F.col("node").alias("start"), F.col("parent").alias("at"), F.lit(1).cast("long").alias("dist"), F.lit(False).alias("path"))
+    state = materialize(hops.union(leaves.select("tree", F.col("node").alias("start"), "node", F.lit(0).cast("long"), F.lit(True))), "chat-paths")
+    reach, counted = 1, []
+
+    def size() -> int:
+        """Nodes of the largest tree; asked for only after some rounds."""
+        if not counted:
+            counted.append(nodes.groupBy("tree").count().agg(F.max("count")).first()[0] if reach > 1024 else 1 << 40)
+        return counted.pop() if counted[0] == 1 << 40 else counted[0]
+
+    while True:
+        hops = state.where("not path")
+        if hops.isEmpty():
+            break
+        if reach > size():  # what still hops is on a cycle, or leads to one
+            state = state.join(hops.select("tree", F.col("start").alias("at")).distinct(), ["tree", "at"], "left_anti").select("tree", "start", "at", "dist", "path")
             break
-    return found
+        on = hops.select("tree", F.col("start").alias("at"), F.col("at").alias("next"), F.col("dist").alias("more"))
+        further = state.join(on, ["tree", "at"]).select("tree", "start", F.col("next").alias("at"), (F.col("dist") + F.col("more")).alias("dist"), "path")
+        state, reach = materialize(state.where("path").union(further), "chat-paths"), 2 * reach
+    return state.select("tree", F.col("start").alias("leaf"), F.col("at").alias("node"), "dist")
 
 
 def format_trees(nodes: DataFrame, branches: int | None = None, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -99,7 +109,7 @@ def format_trees(nodes: DataFrame, branches: int | None = None, loss_roles: tupl
     """
     nodes = materialize(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), "role", "text"), "chat-nodes")
     on_path = paths(nodes).join(nodes.select("tree", "node", "score", "role", "text"), ["tree", "node"])
-    branch = on_path.groupBy("tree", "leaf").agg(
+    branch = on_path.repartition("tree").groupBy("tree", "leaf").agg(
         F.avg("score").alias("score"),
         F.sort_array(F.collect_list(F.struct((-F.col("dist")).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"),
     )
