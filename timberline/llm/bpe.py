@@ -261,18 +261,18 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, ids (array of int), decoded."""
+def with_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """docs (text, ...) -> the same columns, ids (array of int), n_tokens and decoded; columns of these names give way."""
     path = path or default_path()
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    docs = docs.drop("ids", "n_tokens", "decoded")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-
-        def make(c: dict) -> dict:
-            ids = [bpe.encode(t) for t in c["text"]]
-            return {"doc_id": c["doc_id"], "ids": ids, "decoded": [bpe.decode(i) for i in ids]}
-
-        return batches(it, schema, make)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+        for batch in it:
+            ids = [bpe.encode(t) for t in batch.column("text").to_pylist()]
+            batch = batch.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
+            batch = batch.append_column("n_tokens", pa.array([len(i) for i in ids], pa.int64()))
+            yield batch.append_column("decoded", pa.array([bpe.decode(i) for i in ids], pa.string()))
+
+    fields = "".join(f"`{c}` {t}, " for c, t in docs.dtypes)
+    return docs.mapInArrow(run, f"{fields}ids array<int>, n_tokens long, decoded string")

@@ -101,11 +101,11 @@ def paths(nodes: DataFrame) -> DataFrame:
     return state.select("tree", F.col("start").alias("leaf"), F.col("at").alias("node"), "dist")
 
 
-def format_trees(nodes: DataFrame, branches: int | None = None, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def format_trees(nodes: DataFrame, branches: int | None = None, loss_roles: tuple[str, ...] = ("assistant",), read_back: bool = False) -> DataFrame:
     """nodes (tree, node, parent, score, role, text) -> tree, leaf, rank, score, formatted, spans.
 
     A branch scores the mean of its nodes' scores (null: 0); branches: how many of each tree to keep, best first,
-    ties to the smaller leaf; None keeps all.
+    ties to the smaller leaf; None keeps all. read_back: instead, what reading each formatted conversation gives (see READ).
     """
     nodes = materialize(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), "role", "text"), "chat-nodes")
     on_path = paths(nodes).join(nodes.select("tree", "node", "score", "role", "text"), ["tree", "node"])
@@ -126,9 +126,30 @@ def format_trees(nodes: DataFrame, branches: int | None = None, loss_roles: tupl
         return {k: c[k] for k in ("tree", "leaf", "rank", "score")} | {"formatted": [d[0] for d in done], "spans": [[list(s) for s in d[1]] for d in done]}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batches(it, schema, make)
+        out = batches(it, schema, make)
+        return batches(out, READ_ARROW, _read) if read_back else out
 
-    return branch.select("tree", "leaf", "rank", "score", "turns").mapInArrow(run, "tree long, leaf long, rank int, score double, formatted string, spans array<array<long>>")
+    rows = branch.select("tree", "leaf", "rank", "score", "turns")
+    return rows.mapInArrow(run, READ if read_back else "tree long, leaf long, rank int, score double, formatted string, spans array<array<long>>")
+
+
+READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+READ_ARROW = pa.schema(
+    [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+)
+
+
+def _read(c: dict) -> dict:
+    turns = [parse_turns(f) for f in c["formatted"]]
+    loss = ["".join(unescape(f[a:b]) for a, b in spans) for f, spans in zip(c["formatted"], c["spans"], strict=True)]
+    return {
+        "conv_id": c["tree"],
+        "n_turns": [len(t) for t in turns],
+        "turns_sha256": [sha_hex("".join(f"{r}\n{x}\n" for r, x in t).encode()) for t in turns],
+        "loss_chars": [len(x) for x in loss],
+        "loss_sha256": [sha_hex(x.encode()) for x in loss],
+        "formatted_chars": [len(f) for f in c["formatted"]],
+    }
 
 
 def from_conversations(rows: DataFrame) -> DataFrame:
@@ -137,29 +158,3 @@ def from_conversations(rows: DataFrame) -> DataFrame:
     return rows.withColumn("node", F.row_number().over(order).cast("long")).select(
         F.col("conv_id").alias("tree"), "node", (F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text"
     )
-
-
-def digest(formatted: DataFrame) -> DataFrame:
-    """What reading the formatted conversations back gives."""
-    schema = pa.schema(
-        [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
-    )
-
-    def make(c: dict) -> dict:
-        turns = [parse_turns(f) for f in c["formatted"]]
-        loss = ["".join(unescape(f[a:b]) for a, b in spans) for f, spans in zip(c["formatted"], c["spans"], strict=True)]
-        return {
-            "conv_id": c["tree"],
-            "n_turns": [len(t) for t in turns],
-            "turns_sha256": [sha_hex("".join(f"{r}\n{x}\n" for r, x in t).encode()) for t in turns],
-            "loss_chars": [len(x) for x in loss],
-            "loss_sha256": [sha_hex(x.encode()) for x in loss],
-            "formatted_chars": [len(f) for f in c["formatted"]],
-        }
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batches(it, schema, make)
-
-    return formatted.select("tree", "formatted", "spans").mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fm_decontaminate, gbt_quality, license_scan, parity_join, rlz_dedup, sharding, toxicity
+from . import additive_ann, bpe, chat, fm_decontaminate, gbt_quality, license_scan, parity_join, rlz_dedup, sharding, toxicity
 from .common import crc_mod, read
 
 
@@ -20,6 +20,11 @@ def _judged(scored: DataFrame, modulus: int, held: int) -> DataFrame:
     )
 
 
+def op1_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return additive_ann.search(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
 def op2_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_decontaminate.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -48,7 +53,7 @@ def op5_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.digest(chat.format_trees(chat.from_conversations(rows)))
+    return chat.format_trees(chat.from_conversations(rows), read_back=True)
 
 
 def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +70,7 @@ def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fm_decontamination, op3_gbt_quality, op4_rlz_dedup, op5_chat_trees, op6_backtracking_bpe, op7_sampled_splitters, op8_license_scan, op9_parity_join, op10_subword_toxicity)}
+    return {f.__name__: f for f in (op1_additive_ann, op2_fm_decontamination, op3_gbt_quality, op4_rlz_dedup, op5_chat_trees, op6_backtracking_bpe, op7_sampled_splitters, op8_license_scan, op9_parity_join, op10_subword_toxicity)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
