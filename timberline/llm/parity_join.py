@@ -8,6 +8,8 @@ band if a larger partner may lie there) with more lanes than that, so that partn
 prefix principle it is enough to publish, in one order fixed for all, D + 1 lanes of a text's D possible unlike ones;
 SLACK more are published, so partners share SLACK + 1.
 
+The order puts lanes of many shingles first; those seldom agree by chance.
+
 Published lanes travel as packed arrays, a few bytes a lane, dealt out by hash. Where lanes meet, each text pairs
 with the smallest of its group only. A second sketch of single bits drops pairs that are too far apart, and the rest
 is verified on the shingles themselves. Only for groups whose members the links found so far leave in several
@@ -31,6 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +43,7 @@ from .components import components
 from .shingles import in_parts, mix, shingle_sets
 
 NUM, DEN = 75, 100
-BAND, HOT, BITS, FILTER_BITS = 3, 32, 1024, 1 << 25
+BAND, HOT, BITS, FILTER_BITS = 2, 32, 1024, 1 << 25
 _COLLAPSED = 0xFFFFFFFF
 
 
@@ -52,15 +56,17 @@ def band_of(n: int) -> int:
 
 
 def lanes(shingles: np.ndarray, band: int) -> np.ndarray:
-    """The published lanes of a set at a band of sizes, as hashes of (band, lane, XOR of the lane)."""
+    """The published lanes of a set at a band of sizes, as hashes of (band, lane, number of its shingles, XOR of them)."""
     n, top = len(shingles), BAND ** (band + 1)
-    count = max(top // 2, 4 * top if top <= 81 else 0)
+    count = max(top * 9 // 20, 4 * top if top <= 128 else 0)
     lane = (shingles >> np.uint64(16)) % np.uint64(count)
     order = np.argsort(lane)
     lane = lane[order]
     start = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
     folded = np.bitwise_xor.reduceat(shingles[order], start)
-    keys = np.sort(mix(folded ^ mix(lane[start] + np.uint64((band + 1) << 40))))
+    size = np.diff(start, append=n)
+    keys = mix(folded ^ mix(lane[start] + np.uint64((band + 1) << 40) + (size.astype(np.uint64) << np.uint64(48))))
+    keys = keys[np.lexsort((keys, -size))]  # lanes of many shingles first: few texts that aren't alike share those
     partner = min(n * DEN // NUM, max(n, top - 1))
     unlike = (n + partner) * (DEN - NUM) // (DEN + NUM)
     return keys[: unlike + 1 + slack(n)]
@@ -263,7 +269,7 @@ def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """One text of each wanted class: owners (c1, doc_id) -> c1, text.
+    """One text of each wanted class: owners (c1, doc_id) -> c1, text (compressed).
 
     A bitmap of FILTER_BITS bits over doc_ids, of fixed size whatever the input, keeps most other texts out of the
     shuffle; what it lets through wrongly, the join drops.
@@ -279,20 +285,20 @@ def texts_of(docs: DataFrame, owners: DataFrame) -> DataFrame:
     # A value p has bucket 1 + (p - 1) // per and position (p - 1) % per; 0 has bucket 0 and position 0.
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
     zero = any(r["k"] == 0 for r in maps)
-    schema = pa.schema([("id", pa.int64()), ("c1", pa.int64()), ("text", pa.string())])
+    schema = pa.schema([("id", pa.int64()), ("c1", pa.int64()), ("text", pa.binary())])
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(sent.value).astype(bool)
+        known, pack = np.unpackbits(sent.value).astype(bool), zstandard.ZstdCompressor(level=3).compress
         for batch in it:
             p = batch.column("p").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(np.where(p == 0, zero, known[p - 1])))
             ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             for lo, part in in_parts(texts):
                 sets = shingle_sets(part)
-                found = [(i, class_of(s)[0], t) for i, s, t in zip(ids[lo : lo + len(part)], sets, part, strict=True) if len(s)]
+                found = [(i, class_of(s)[0], pack(t.encode("utf-8", "surrogatepass"))) for i, s, t in zip(ids[lo : lo + len(part)], sets, part, strict=True) if len(s)]
                 yield pa.RecordBatch.from_pydict({"id": [f[0] for f in found], "c1": [f[1] for f in found], "text": [f[2] for f in found]}, schema=schema)
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text", spot(F.col("doc_id")).alias("p")).mapInArrow(keep, "id long, c1 long, text string")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text", spot(F.col("doc_id")).alias("p")).mapInArrow(keep, "id long, c1 long, text binary")
     return rows.join(owners.select(F.col("doc_id").alias("id"), "c1"), ["id", "c1"]).dropDuplicates(["c1"]).select("c1", "text")
 
 
@@ -302,15 +308,25 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in it:
-            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
+            a, b, ta, tb = (batch.column(c) for c in ("a", "b", "ta", "tb"))
+            a, b = a.to_pylist(), b.to_pylist()
             keep: list[tuple[int, int]] = []
-            for i in range(0, len(a), 64):
-                x, y = shingle_sets(ta[i : i + 64]), shingle_sets(tb[i : i + 64])
-                for p, q, s, t in zip(a[i : i + 64], b[i : i + 64], x, y, strict=True):
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if DEN * both >= NUM * (len(s) + len(t) - both):
-                        keep.append((p, q))
+            for lo in range(0, len(a), 128):
+                part = range(lo, min(lo + 128, len(a)))
+                where: dict[int, tuple] = {a[i]: (ta, i) for i in part} | {b[i]: (tb, i) for i in part}  # each text once
+                texts = [unpack(c[i].as_py()).decode("utf-8", "surrogatepass") for c, i in where.values()]
+                sets = {}
+                for at, some in in_parts(texts):
+                    sets |= dict(zip(list(where)[at : at + len(some)], shingle_sets(some), strict=True))
+                for i in part:
+                    x, y = sets[a[i]], sets[b[i]]
+                    both = np.concatenate([x, y])
+                    both.sort(kind="stable")
+                    same = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if DEN * same >= NUM * (len(x) + len(y) - same):
+                        keep.append((a[i], b[i]))
             yield pa.RecordBatch.from_pydict({"a": [k[0] for k in keep], "b": [k[1] for k in keep]}, schema=schema)
 
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
@@ -342,11 +358,12 @@ def link(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     short = hot.groupBy("c1").agg(F.count("*").alias("h")).join(spare, "c1").where("h > slack").select("c1")
     member = met.where("kind = 'group'").select(F.col("a").alias("gid"), F.explode("members").alias("c1")).union(hot.join(short, "c1", "left_semi").select("gid", "c1"))
     of = group.withColumnRenamed("node", "c1")
-    member = member.distinct().join(of, "c1", "left").withColumn("component", F.coalesce("component", "c1"))
+    member = member.distinct().join(sketches.select("c1", "n"), "c1").join(of, "c1", "left").withColumn("component", F.coalesce("component", "c1"))
     split = member.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gid")
     open_ = materialize(member.join(split, "gid", "left_semi"), "join-open")
-    x, y = open_.select("gid", F.col("c1").alias("x"), F.col("component").alias("cx")), open_.select("gid", F.col("c1").alias("y"), F.col("component").alias("cy"))
-    rest = x.join(y, "gid").where("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    x, y = (open_.select("gid", F.col("c1").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}")) for c in "xy")
+    fit = DEN * F.least("nx", "ny") >= NUM * F.greatest("nx", "ny")
+    rest = x.join(y, "gid").where((F.col("cx") < F.col("cy")) & fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = materialize(near_enough(rest.join(pairs, ["a", "b"], "left_anti"), sketches), "join-rest")
     if not rest.isEmpty():
         more = verified(rest, materialize(texts_of(docs, owned(rest)), "join-texts"))
