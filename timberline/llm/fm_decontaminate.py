@@ -78,6 +78,8 @@ class FMIndex:
     """Counts and locates phrases in a text of integers; 0 separates stretches, and no phrase holds it."""
 
     def __init__(self, text: np.ndarray, sigma: int, sample: int = SAMPLE):
+        if len(text) and text[-1] != 0:
+            text = np.concatenate([text, [0]])
         n = len(text)
         order = suffix_array(text)
         self.last = text[order - 1] if n else text  # the symbol before each suffix
