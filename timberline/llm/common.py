@@ -23,12 +23,17 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables; also lets Python workers import this package from where the driver did."""
+def ensure_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver did."""
     env = spark.sparkContext.environment
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the input tables."""
+    ensure_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

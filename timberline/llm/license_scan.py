@@ -34,7 +34,6 @@ TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2 0",
     "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "cc-by-4.0": "licensed under cc by 4 0",
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
     "cc-by-sa-4.0": "licensed under cc by sa 4 0",
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
@@ -43,7 +42,7 @@ TEMPLATES = {
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
 
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 
 
 def spaced(text: Column) -> Column:

@@ -8,7 +8,8 @@ band if a larger partner may lie there) with more lanes than that, so that partn
 prefix principle it is enough to publish, in one order fixed for all, D + 1 lanes of a text's D possible unlike ones;
 SLACK more are published, so partners share SLACK + 1.
 
-The order puts lanes of many shingles first; those seldom agree by chance.
+The order puts lanes last whose shingles all are frequent in
+a bounded sample, as those of boilerplate are, and lanes of many shingles first; those seldom agree by chance.
 
 Published lanes travel as packed arrays, a few bytes a lane, dealt out by hash. Where lanes meet, each text pairs
 with the smallest of its group only. A second sketch of single bits drops pairs that are too far apart, and the rest
@@ -44,6 +45,7 @@ from .shingles import in_parts, mix, shingle_sets
 
 NUM, DEN = 75, 100
 BAND, HOT, BITS, FILTER_BITS = 2, 32, 1024, 1 << 25
+SAMPLE, LONGEST = 4_000, 8_192  # texts to learn frequent shingles from, and shingles of each (the smallest hashes)
 _COLLAPSED = 0xFFFFFFFF
 
 
@@ -55,10 +57,10 @@ def band_of(n: int) -> int:
     return j
 
 
-def lanes(shingles: np.ndarray, band: int) -> np.ndarray:
+def lanes(shingles: np.ndarray, band: int, frequent: np.ndarray | None = None) -> np.ndarray:
     """The published lanes of a set at a band of sizes, as hashes of (band, lane, number of its shingles, XOR of them)."""
     n, top = len(shingles), BAND ** (band + 1)
-    count = max(top * 9 // 20, 4 * top if top <= 128 else 0)
+    count = max(top * 3 // 4, 4 * top if top <= 128 else 0)
     lane = (shingles >> np.uint64(16)) % np.uint64(count)
     order = np.argsort(lane)
     lane = lane[order]
@@ -66,7 +68,12 @@ def lanes(shingles: np.ndarray, band: int) -> np.ndarray:
     folded = np.bitwise_xor.reduceat(shingles[order], start)
     size = np.diff(start, append=n)
     keys = mix(folded ^ mix(lane[start] + np.uint64((band + 1) << 40) + (size.astype(np.uint64) << np.uint64(48))))
-    keys = keys[np.lexsort((keys, -size))]  # lanes of many shingles first: few texts that aren't alike share those
+    common = np.zeros(len(start), dtype=bool)
+    if frequent is not None and len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        common = np.bitwise_and.reduceat((frequent[at] == shingles)[order], start)
+    # Lanes with a shingle that few texts have come first, then lanes of many shingles: unlike texts seldom share those.
+    keys = keys[np.lexsort((keys, -size, common))]
     partner = min(n * DEN // NUM, max(n, top - 1))
     unlike = (n + partner) * (DEN - NUM) // (DEN + NUM)
     return keys[: unlike + 1 + slack(n)]
@@ -76,14 +83,14 @@ def slack(n: int) -> int:
     return 1 + n // 40
 
 
-def published(shingles: np.ndarray) -> np.ndarray:
+def published(shingles: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
     n = len(shingles)
     if not n:
         return np.zeros(0, dtype=np.uint64)
     band = band_of(n)
-    out = [lanes(shingles, band)]
+    out = [lanes(shingles, band, frequent)]
     if n * DEN // NUM >= BAND ** (band + 1):  # a larger partner may be in the next band
-        out.append(lanes(shingles, band + 1))
+        out.append(lanes(shingles, band + 1, frequent))
     return np.concatenate(out)
 
 
@@ -122,6 +129,26 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sketch array<long>")
 
 
+def frequent_shingles(docs: DataFrame, rows: int, sample: int = SAMPLE, least: int = 3) -> np.ndarray:
+    """Shingles of at least `least` of about `sample` different texts, drawn by their hash: an order for lanes that all
+    texts share. It decides only which lanes are published first, so any set gives the same links."""
+    h = F.xxhash64("text")
+    drawn = docs.select("text", h.alias("h")).where(F.pmod(F.xxhash64(h), F.lit(1 << 30)) < int(min(1.0, sample / max(1, rows)) * (1 << 30))).dropDuplicates(["h"])
+    schema = pa.schema([("s", pa.binary())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for _, texts in in_parts(batch.column("text").to_pylist()):
+                # A fixed part of the hash range of very long texts bounds what is sent.
+                yield pa.RecordBatch.from_pydict({"s": [s[:LONGEST].tobytes() for s in shingle_sets(texts) if len(s)]}, schema=schema)
+
+    found = [np.frombuffer(r["s"], np.uint64) for r in drawn.select("text").mapInArrow(run, "s binary").collect()]
+    if not found:
+        return np.zeros(0, np.uint64)
+    value, count = np.unique(np.concatenate(found), return_counts=True)
+    return value[count >= least]
+
+
 _MEET = "kind string, a long, b long, members array<long>"
 _MEET_ARROW = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("members", pa.list_(pa.int64()))])
 _SENT = pa.schema([("bucket", pa.int32()), ("data", pa.binary()), *_MEET_ARROW])
@@ -146,10 +173,12 @@ def _grouped(keys: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, who, start[many], size[many]
 
 
-def meetings(docs: DataFrame, buckets: int) -> DataFrame:
+def meetings(docs: DataFrame, buckets: int, frequent: np.ndarray | None = None) -> DataFrame:
     """Where published lanes of different classes meet: kind 'pair' (a: smallest, b: other class), 'group' (members)
     and 'hot' (a: lane, b: class), by the first 64 bits of the classes."""
 
+    sent_frequent = docs.sparkSession.sparkContext.broadcast(frequent)  # at most SAMPLE * LONGEST / 3 hashes
+
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: list[int] = []
         parts: list[np.ndarray] = []
@@ -194,7 +223,7 @@ def meetings(docs: DataFrame, buckets: int) -> DataFrame:
             for _, texts in in_parts(batch.column("text").to_pylist()):
                 for s in shingle_sets(texts):
                     if len(s):
-                        p = published(s)
+                        p = published(s, sent_frequent.value)
                         parts.append(p)
                         classes.append(class_of(s)[0])
                         size += len(p)
@@ -341,7 +370,8 @@ def link(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     # One row a class. Of classes that agree in their first 64 bits only, pairs meet both, and verification decides.
     reps = sets.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     sketches = sets.where("n > 0").select("c1", "n", "sketch").dropDuplicates(["c1"])
-    met = materialize(meetings(docs, buckets), "join-met")
+    frequent = frequent_shingles(docs, sets.count())
+    met = materialize(meetings(docs, buckets, frequent), "join-met")
     pairs = materialize(near_enough(met.where("kind = 'pair'").select("a", "b").distinct(), sketches), "join-pairs")
     owners = sets.where("n > 0").groupBy("c1").agg(F.min("doc_id").alias("doc_id"))
 
