@@ -95,6 +95,17 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, c
 from d left join hit using (r) left join items using (r)
 """
 
+_OP4 = r"""
+with d as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '') as w from documents),
+wins as (select r, doc_id, unnest(range(len(w) - 49)) as i, unnest(list_transform(range(len(w) - 49), lambda i: md5(array_to_string(w[i + 1:i + 50], ' ')))) as win from d where len(w) >= 50),
+least_doc as (select win, min(doc_id) as k from wins group by win),
+gone as (select distinct r, unnest(range(i, i + 50)) as p from wins join least_doc using (win) where k < doc_id),
+places as (select r, unnest(range(len(w))) as p, unnest(w) as word from d),
+kept as (select r, count(*) as n, string_agg(word, ' ' order by p) as t from places anti join gone using (r, p) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (r)
+"""
+
 _OP5 = r"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -139,4 +150,4 @@ from e left join base using (doc_id) left join method using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_fm_decontamination": _OP2, "op5_chat_trees": _OP5, "op8_license_scan": _op8()}
+    return {"op2_fm_decontamination": _OP2, "op4_rlz_dedup": _OP4, "op5_chat_trees": _OP5, "op8_license_scan": _op8()}
