@@ -45,6 +45,7 @@ from .shingles import in_parts, mix, shingle_sets
 
 NUM, DEN = 75, 100
 BAND, HOT, BITS, FILTER_BITS = 2, 32, 1024, 1 << 25
+CHIEFS = 16  # texts that each member of a hot lane's group may pair with
 SAMPLE, LONGEST = 4_000, 8_192  # texts to learn frequent shingles from, and shingles of each (the smallest hashes)
 _COLLAPSED = 0xFFFFFFFF
 
@@ -173,6 +174,17 @@ def _grouped(keys: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, who, start[many], size[many]
 
 
+def _chief(key: np.uint64, members: np.ndarray) -> int:
+    """Which member of a hot lane all others pair with. One of CHIEFS orders, by the lane, picks it: a large group of
+    texts that are not all alike falls together by several of them."""
+    return int(np.argmin(mix(members.view(np.uint64) ^ np.uint64((int(key) % CHIEFS + 1) << 56))))
+
+
+def _star(chief: int, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    others = np.delete(members, chief)
+    return np.minimum(members[chief], others), np.maximum(members[chief], others)
+
+
 def meetings(docs: DataFrame, buckets: int, frequent: np.ndarray | None = None) -> DataFrame:
     """Where published lanes of different classes meet: kind 'pair' (a: smallest, b: other class), 'group' (members)
     and 'hot' (a: lane, b: class), by the first 64 bits of the classes."""
@@ -190,9 +202,11 @@ def meetings(docs: DataFrame, buckets: int, frequent: np.ndarray | None = None)
             keys, who, start, count = _grouped(keys, who)
             drop, marks = np.zeros(len(keys), bool), []
             for s, c in zip(start[count > HOT].tolist(), count[count > HOT].tolist(), strict=True):
-                yield _rows(_SENT, "pair", np.full(c - 1, who[s]), who[s + 1 : s + c])
+                chief = _chief(keys[s], who[s : s + c])
+                yield _rows(_SENT, "pair", *_star(chief, who[s : s + c]))
                 yield _rows(_SENT, "hot", np.full(c, keys[s].view(np.int64)), who[s : s + c])
-                drop[s + 1 : s + c] = True
+                drop[s : s + c] = True
+                drop[s + chief] = False
                 marks.append(keys[s])
             table, index = np.unique(who[~drop], return_inverse=True)
             keys = np.concatenate([keys[~drop], np.array(marks, dtype=np.uint64)])
@@ -258,9 +272,12 @@ def meetings(docs: DataFrame, buckets: int, frequent: np.ndarray | None = None)
         marked = np.unique(low[flag == 1])
         keys, who, start, count = _grouped(low[flag == 0], who[flag == 0])
         hot = (count > HOT) | np.isin(keys[start], marked)
-        first = np.repeat(who[start], count - 1)
-        other = who[np.repeat(start + 1 - np.concatenate([[0], np.cumsum(count - 1)[:-1]]), count - 1) + np.arange(len(first))]
-        pairs = np.unique(np.stack([first, other], 1), axis=0)
+        small_start, small = start[~hot], count[~hot] - 1
+        first = np.repeat(who[small_start], small)
+        other = who[np.repeat(small_start + 1 - np.concatenate([[0], np.cumsum(small)[:-1]]), small) + np.arange(len(first))] if len(first) else first
+        stars = [_star(_chief(keys[s], who[s : s + c]), who[s : s + c]) for s, c in zip(start[hot].tolist(), count[hot].tolist(), strict=True)]
+        pairs = np.concatenate([np.stack([first, other], 1), *[np.stack(x, 1) for x in stars]])
+        pairs = np.unique(pairs, axis=0)
         if len(pairs):
             yield _rows(_MEET_ARROW, "pair", pairs[:, 0], pairs[:, 1])
         alone = keys[np.flatnonzero(np.isin(keys, marked))]
