@@ -22,6 +22,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -49,7 +50,7 @@ def _byte_chars() -> list[str]:
 class WordBPE:
     """A BPE with word ends, read from a tokenizers JSON file."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.memo_size = spec["model"], memo
@@ -268,11 +269,11 @@ def with_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in it:
-            ids = [bpe.encode(t) for t in batch.column("text").to_pylist()]
+        for batch in (whole.slice(lo, 256) for whole in it for lo in range(0, whole.num_rows, 256)):  # few lists at a time
+            ids = [np.array(bpe.encode(t), dtype=np.int32) for t in batch.column("text").to_pylist()]
             batch = batch.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
             batch = batch.append_column("n_tokens", pa.array([len(i) for i in ids], pa.int64()))
-            yield batch.append_column("decoded", pa.array([bpe.decode(i) for i in ids], pa.string()))
+            yield batch.append_column("decoded", pa.array([bpe.decode(i.tolist()) for i in ids], pa.string()))
 
     fields = "".join(f"`{c}` {t}, " for c, t in docs.dtypes)
     return docs.mapInArrow(run, f"{fields}ids array<int>, n_tokens long, decoded string")
