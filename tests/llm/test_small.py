@@ -127,6 +127,30 @@ def test_parity_join_chain(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {76}
 
 
+def star_family():
+    """A base and near copies that link with it but not with each other: rows (doc_id, text), the base first."""
+    base, r, rows = words(200, 40), random.Random(41), []
+    for i in range(220):
+        near = list(base)
+        for at in r.sample(range(5, 195, 5), 5):
+            near[at] = f"own{i}"
+        rows.append((1000 - i, " ".join(near)))
+    return [(2000, " ".join(base)), *rows]
+
+
+def test_parity_join_hot_lane_is_one_group(spark):
+    """A hot lane's members in one partition and a few in another are one group, and a star stays one component."""
+    rows, lanes = star_family(), {}
+    for s in parity_join.shingle_sets([t for _, t in rows]):
+        for lane in parity_join.published(s).tolist():
+            lanes.setdefault(lane, set()).add(parity_join.class_of(s)[0])
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([rows[:201], rows[201:]], 2).flatMap(lambda part: part), "doc_id long, text string")
+    groups = [set(r["m"]) for r in parity_join.meetings(docs, 2).where("kind = 'hot'").groupBy("a").agg(F.collect_set("b").alias("m")).collect()]
+    hot = [who for who in lanes.values() if len(who) > parity_join.HOT]
+    assert len(hot) > 50 and all(any(who <= g for g in groups) for who in hot)
+    assert {r["component_id"] for r in parity_join.link(docs, 2).collect()} == {781}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7)], "u long, v long")
     got = {r["node"]: r["component"] for r in components(e).collect()}

@@ -180,6 +180,11 @@ def _chief(key: np.uint64, members: np.ndarray) -> int:
     return int(np.argmin(mix(members.view(np.uint64) ^ np.uint64((int(key) % CHIEFS + 1) << 56))))
 
 
+def _gid(keys: np.ndarray, bucket: int) -> np.ndarray:
+    """The group of a hot lane, the same wherever it is found: from the bits of its key that are sent, and its bucket."""
+    return ((keys.astype(np.int64) & 0xFFFFFFFF) << 20) | bucket
+
+
 def _star(chief: int, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     others = np.delete(members, chief)
     return np.minimum(members[chief], others), np.maximum(members[chief], others)
@@ -204,7 +209,7 @@ def meetings(docs: DataFrame, buckets: int, frequent: np.ndarray | None = None)
             for s, c in zip(start[count > HOT].tolist(), count[count > HOT].tolist(), strict=True):
                 chief = _chief(keys[s], who[s : s + c])
                 yield _rows(_SENT, "pair", *_star(chief, who[s : s + c]))
-                yield _rows(_SENT, "hot", np.full(c, keys[s].view(np.int64)), who[s : s + c])
+                yield _rows(_SENT, "hot", np.full(c, _gid(keys[s], int(keys[s] >> np.uint64(32)) % buckets)), who[s : s + c])
                 drop[s : s + c] = True
                 drop[s + chief] = False
                 marks.append(keys[s])
@@ -283,8 +288,7 @@ def meetings(docs: DataFrame, buckets: int, frequent: np.ndarray | None = None)
         alone = keys[np.flatnonzero(np.isin(keys, marked))]
         hot_rows = np.isin(keys, np.concatenate([keys[start[hot]], alone]))
         if hot_rows.any():
-            lane = (keys[hot_rows].astype(np.int64) << 20) | bucket
-            yield _rows(_MEET_ARROW, "hot", lane, who[hot_rows])
+            yield _rows(_MEET_ARROW, "hot", _gid(keys[hot_rows], bucket), who[hot_rows])
         sets, names = {}, []
         for s, c in zip(start[~hot & (count > 2)].tolist(), count[~hot & (count > 2)].tolist(), strict=True):
             sets.setdefault(who[s : s + c].tobytes(), None)
