@@ -138,6 +138,33 @@ def star_family():
     return [(2000, " ".join(base)), *rows]
 
 
+def linked_with(rows):
+    """How many others each text links with, by brute force; no two texts are alike."""
+    s = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    return {i: sum(x is not y and 100 * len(x & y) >= 75 * len(x | y) for y in s) for (i, _), x in zip(rows, s, strict=True)}
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_parity_join_counts_all_links(spark, monkeypatch, block):
+    """Three families: of two, where all link with all, and where all link with one only."""
+    monkeypatch.setattr(parity_join, "BLOCK", block)
+    base, rows = words(120, 60), star_family()[:60]
+    for i in range(40):
+        rows.append((i, " ".join([*base[: 3 * i], f"own{i}", *base[3 * i + 1 :]])))
+    pair = words(90, 61)
+    rows += [(100, " ".join(pair)), (101, " ".join([*pair, "more"])), (102, " ".join(words(50, 62)))]
+    got = {r["doc_id"]: r["n_links"] for r in parity_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2).collect()}
+    want = linked_with(rows)
+    assert got == want and want[2000] == 59 and want[0] == 39 and want[100] == 1 and want[102] == 0
+
+
+def test_common_shingles_in_narrow_ranges():
+    r = np.random.default_rng(3)
+    x, y = ([np.unique(r.integers(0, 90, n).astype(np.uint64)) for n in r.integers(1, 60, 9)] for _ in range(2))
+    want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert parity_join.common_shingles(x, y, cells=63).tolist() == want
+
+
 def test_parity_join_hot_lane_is_one_group(spark):
     """A hot lane's members in one partition and a few in another are one group, and a star stays one component."""
     rows, lanes = star_family(), {}

@@ -46,6 +46,7 @@ from .shingles import in_parts, mix, shingle_sets
 NUM, DEN = 75, 100
 BAND, HOT, BITS, FILTER_BITS = 2, 32, 1024, 1 << 25
 CHIEFS = 16  # texts that each member of a hot lane's group may pair with
+BLOCK, BLOCK_BYTES = 256, 1 << 21  # classes, and bytes of their compressed texts, that are compared at once when links are counted
 SAMPLE, LONGEST = 4_000, 8_192  # texts to learn frequent shingles from, and shingles of each (the smallest hashes)
 _COLLAPSED = 0xFFFFFFFF
 
@@ -382,8 +383,111 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def link(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id, class (null without words), n_links of its class found."""
+def _held(texts: list) -> list[np.ndarray]:
+    """The shingle sets of compressed texts."""
+    unpack, out = zstandard.ZstdDecompressor().decompress, []
+    for lo in range(0, len(texts), 32):
+        part = [unpack(t).decode("utf-8", "surrogatepass") for t in texts[lo : lo + 32]]
+        for _, some in in_parts(part):
+            out += shingle_sets(some)
+    return out
+
+
+def common_shingles(x: list[np.ndarray], y: list[np.ndarray], cells: int = 1 << 22) -> np.ndarray:
+    """How many shingles each set of x has in common with each of y: products of 0-1 matrices, a range of the shared
+    shingles at a time, at most `cells` wide and long."""
+    sx, sy = np.concatenate(x), np.concatenate(y)
+    shared = np.unique(sx) if x is y else np.intersect1d(sx, sy)
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    if not len(shared):
+        return out
+    width = max(1, cells // max(len(x), len(y)))
+
+    def places(s: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(shared, s), len(shared) - 1)
+        hit = shared[at] == s
+        row, at = np.repeat(np.arange(len(sets)), [len(v) for v in sets])[hit], at[hit]
+        order = np.argsort(at, kind="stable")
+        return row[order], at[order]
+
+    (rx, ax), (ry, ay) = places(sx, x), places(sy, y)
+    for lo in range(0, len(shared), width):
+        m = []
+        for row, at, n in ((rx, ax, len(x)), (ry, ay, len(y))):
+            a, b = np.searchsorted(at, [lo, lo + width])
+            one = np.zeros((n, min(width, len(shared) - lo)), dtype=np.float32)  # sums below 2^24 are exact
+            one[row[a:b], at[a:b] - lo] = 1
+            m.append(one)
+        out += (m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
+def _linked(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    same = common_shingles(x, y)
+    size = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+    return DEN * same >= NUM * (size - same)
+
+
+def _packed(sets: list[np.ndarray]) -> bytes:
+    """Sets as one frame, each distinct shingle once: a block of near copies takes little more than one of them."""
+    values, index = np.unique(np.concatenate(sets), return_inverse=True)
+    head = np.array([len(sets), len(values), *map(len, sets)], dtype=np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + values.tobytes() + index.astype(np.uint32).tobytes())
+
+
+def _unpacked(raw: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    count, distinct = np.frombuffer(raw, np.int64, 2).tolist()
+    sizes, at = np.frombuffer(raw, np.int64, count, 16), 16 + 8 * count
+    values = np.frombuffer(raw, np.uint64, distinct, at)
+    return np.split(values[np.frombuffer(raw, np.uint32, -1, at + 8 * distinct)], np.cumsum(sizes)[:-1])
+
+
+_BLOCK = "component long, blocks int, block int, names array<long>, n array<long>, sets binary"
+_BLOCK_ARROW = pa.schema([("component", pa.int64()), ("blocks", pa.int32()), ("block", pa.int32()), ("names", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("sets", pa.binary())])
+
+
+def _within(component: int, blocks: int, block: int, names: list[int], texts: list[bytes]) -> pa.Table:
+    sets = _held(texts)
+    n = _linked(sets, sets).sum(axis=1) - 1  # each set is near itself
+    raw = _packed(sets) if blocks > 1 else None
+    return pa.Table.from_pydict({"component": [component], "blocks": [blocks], "block": [block], "names": [names], "n": [n.tolist()], "sets": [raw]}, schema=_BLOCK_ARROW)
+
+
+def count_links(group: DataFrame, texts: DataFrame) -> DataFrame:
+    """group (node, component), texts (c1, text: compressed) of all nodes -> c1, n_links: with how many other classes
+    each class links. Links never leave a component, so all pairs inside each are compared, in blocks of about BLOCK
+    classes or BLOCK_BYTES of text; each pair of blocks is a group of its own. Two classes alone have one link."""
+    size = group.groupBy("component").agg(F.count("*").alias("m"))
+    two = group.join(size.where("m = 2"), "component").select(F.col("node").alias("c1"), F.lit(1).cast("long").alias("n"))
+    member = group.join(size.where("m > 2").select("component"), "component").withColumnRenamed("node", "c1").join(texts, "c1")
+    member = materialize(member.select("component", "c1", "text"), "join-members")
+    blocks = member.groupBy("component").agg(F.count("*").alias("m"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = blocks.select("component", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = member.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int"))
+
+    def one(table: pa.Table) -> pa.Table:
+        component, blocks, block = (table.column(c)[0].as_py() for c in ("component", "blocks", "block"))
+        return _within(component, blocks, block, table.column("c1").to_pylist(), table.column("text").to_pylist())
+
+    def between(table: pa.Table) -> pa.Table:
+        names, n = table.column("names").to_pylist(), []
+        if len(names) == 2:  # a block may be empty
+            near = _linked(*map(_unpacked, table.column("sets").to_pylist()))
+            n = [*near.sum(axis=1).tolist(), *near.sum(axis=0).tolist()]
+        return pa.table({"c1": pa.array([c for x in names for c in x] if n else [], pa.int64()), "n": pa.array(n, pa.int64())})
+
+    done = materialize(dealt.groupBy("component", "block").applyInArrow(one, _BLOCK), "join-blocks")
+    inside = done.select(F.explode(F.arrays_zip("names", "n")).alias("p")).select(F.col("p.names").alias("c1"), F.col("p.n").alias("n"))
+    wide = done.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+    wide = wide.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "names", "sets")
+    across = wide.groupBy("component", "lo", "hi").applyInArrow(between, "c1 long, n long")
+    return two.union(inside).union(across).groupBy("c1").agg(F.sum("n").alias("n_links"))
+
+
+def link(docs: DataFrame, buckets: int | None = None, counts: bool = True) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id, class (null without words), n_links: with how many
+    other classes its class links (not without counts)."""
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
@@ -399,7 +503,8 @@ def link(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     def owned(p: DataFrame) -> DataFrame:
         return owners.join(p.select(F.col("a").alias("c1")).union(p.select(F.col("b").alias("c1"))).distinct(), "c1", "left_semi")
 
-    links = materialize(verified(pairs, materialize(texts_of(docs, owned(pairs)), "join-texts")), "join-links")
+    texts = materialize(texts_of(docs, owned(pairs)), "join-texts")
+    links = materialize(verified(pairs, texts), "join-links")
     group = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     group = materialize(group, "join-components")
 
@@ -417,28 +522,31 @@ def link(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     rest = x.join(y, "gid").where((F.col("cx") < F.col("cy")) & fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = materialize(near_enough(rest.join(pairs, ["a", "b"], "left_anti"), sketches), "join-rest")
     if not rest.isEmpty():
-        more = verified(rest, materialize(texts_of(docs, owned(rest)), "join-texts"))
-        links = materialize(links.union(more), "join-links")
+        other = materialize(texts_of(docs, owned(rest)), "join-texts")
+        links = materialize(links.union(verified(rest, other)), "join-links")
+        texts = texts.union(other.join(texts.select("c1"), "c1", "left_anti"))
         group = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-components")
 
-    counted = links.select(F.col("a").alias("c1")).union(links.select(F.col("b").alias("c1"))).groupBy("c1").agg(F.count("*").alias("n_links"))
-    named = reps.join(group.withColumnRenamed("node", "c1"), "c1", "left").join(counted, "c1", "left")
+    named = reps.join(group.withColumnRenamed("node", "c1"), "c1", "left")
+    if counts:
+        named = named.join(count_links(group, texts), "c1", "left")
     key = F.struct(F.col("component").isNull().alias("own"), F.coalesce("component", "c1").alias("x"), F.when(F.col("component").isNull(), F.col("c2")).alias("y"))
     named = named.withColumn("k", key)
     least = named.groupBy("k").agg(F.min("doc_id").alias("component_id"))
-    named = materialize(named.join(least, "k").select("c1", "c2", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "join-classes")
+    n_links = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if counts else []
+    named = materialize(named.join(least, "k").select("c1", "c2", "component_id", *n_links), "join-classes")
     out = sets.join(named, ["c1", "c2"], "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.concat_ws("-", F.hex("c1"), F.hex("c2"))).alias("class"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        *n_links,
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without documents that are linked with one of a smaller doc_id, directly or through others; of rows with
     one doc_id and one component, all stay or go together. Rows with a null doc_id stay."""
-    joined = link(docs).select(F.col("doc_id").alias("_id"), "component_id").where("component_id < _id").select("_id").distinct()
+    joined = link(docs, counts=False).select(F.col("doc_id").alias("_id"), "component_id").where("component_id < _id").select("_id").distinct()
     return docs.join(joined, docs["doc_id"] == joined["_id"], "left_anti")
