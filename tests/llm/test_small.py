@@ -178,6 +178,13 @@ def test_parity_join_hot_lane_is_one_group(spark):
     assert {r["component_id"] for r in parity_join.link(docs, 2).collect()} == {781}
 
 
+def test_parity_join_larger_of_two_with_hot_lanes_only(spark):
+    """Sets of 120 and 160 are sure of 5 lanes; if those are hot, both have to be looked at. With 4, the larger need not."""
+    sizes = spark.createDataFrame([(1, 120), (2, 160), (3, 160)], "c1 long, n long")
+    hot = spark.createDataFrame([(g, c) for c, lanes in ((1, 5), (2, 5), (3, 4)) for g in range(lanes)], "gid long, c1 long")
+    assert {r["c1"] for r in parity_join.hot_only(hot, sizes).collect()} == {1, 2}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7)], "u long, v long")
     got = {r["node"]: r["component"] for r in components(e).collect()}

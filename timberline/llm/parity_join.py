@@ -16,7 +16,7 @@ with the smallest of its group only. A second sketch of single bits drops pairs
 is verified on the shingles themselves. Only for groups whose members the links found so far leave in several
 components are the pairs between different components looked at, too, so no link that matters is lost and copies
 never become all pairs. A lane that many texts share (HOT) is such a group only for texts with more hot lanes than
-SLACK: any other text meets its partners in another lane. A map task sends at most HOT entries of one lane.
+the SLACK of their smallest possible partner: any other text meets its partners in another lane. A map task sends at most HOT entries of one lane.
 
 Texts with equal shingle sets are one class from the start, however many they are. Sets are compared by 64-bit
 hashes of their shingles, classes by 128 bits of a digest.
@@ -485,6 +485,13 @@ def count_links(group: DataFrame, texts: DataFrame) -> DataFrame:
     return two.union(inside).union(across).groupBy("c1").agg(F.sum("n").alias("n_links"))
 
 
+def hot_only(hot: DataFrame, sizes: DataFrame) -> DataFrame:
+    """hot (gid, c1), sizes (c1, n) -> c1 of classes that may share nothing but hot lanes with a partner: those with more
+    of them than the slack of their smallest partner, as two sets are sure of one lane more than the smaller's."""
+    least = F.floor((NUM * F.col("n") + DEN - 1) / DEN)
+    return hot.groupBy("c1").agg(F.count("*").alias("h")).join(sizes, "c1").where(F.col("h") > 1 + F.floor(least / 40)).select("c1")
+
+
 def link(docs: DataFrame, buckets: int | None = None, counts: bool = True) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, class (null without words), n_links: with how many
     other classes its class links (not without counts)."""
@@ -510,8 +517,7 @@ def link(docs: DataFrame, buckets: int | None = None, counts: bool = True) -> Da
 
     # Groups that still span components: pairs between those, unless looked at before.
     hot = met.where("kind = 'hot'").select(F.col("a").alias("gid"), F.col("b").alias("c1"))
-    spare = sets.where("n > 0").groupBy("c1").agg((1 + F.floor(F.max("n") / 40)).alias("slack"))
-    short = hot.groupBy("c1").agg(F.count("*").alias("h")).join(spare, "c1").where("h > slack").select("c1")
+    short = hot_only(hot, sets.where("n > 0").groupBy("c1").agg(F.max("n").alias("n")))
     member = met.where("kind = 'group'").select(F.col("a").alias("gid"), F.explode("members").alias("c1")).union(hot.join(short, "c1", "left_semi").select("gid", "c1"))
     of = group.withColumnRenamed("node", "c1")
     member = member.distinct().join(sketches.select("c1", "n"), "c1").join(of, "c1", "left").withColumn("component", F.coalesce("component", "c1"))
