@@ -14,6 +14,7 @@ from timberline.operators.metric import execute_metric
 from timberline.operators.query import execute, execute_by_day
 from timberline.operators.stages import PatternStage
 from timberline.operators.templates import Templates
+from timberline.plans import catalogue
 from timberline.plans.translate import explain, log_query, metric_query
 from timberline.sources.logs import compact, decode_push, expire, ingest, load, log_rows
 from timberline.streaming.tail import ingest_stream, tail
@@ -148,3 +149,20 @@ def test_push_and_stream(spark, tmp_path):
     q = live.writeStream.format("memory").queryName("live").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r["line"] for r in spark.table("live").collect()] == ["took 7ms"]
+
+
+@pytest.mark.parametrize("steps", [7, 11_000])
+def test_conversations_are_all_counted(spark, tmp_path, monkeypatch, steps):
+    monkeypatch.setattr(catalogue, "MOST_STEPS", steps, raising=False)
+    ids = [*range(150, 2350, 3), 2400, 2400, 9_001]
+    want = {}
+    for i in ids:
+        key = ("user" if i % 2 else "assistant", -(-i // 100) * 100 * 10**9)
+        want[key] = want.get(key, 0) + 1
+    turns = [(i, 0, "user" if i % 2 else "assistant", "x") for i in ids]
+    for part, name in ((turns, "a"), ([], "none")):
+        spark.createDataFrame(part, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/{name}/conversations.parquet")
+    run = catalogue.QUERIES["conversations_by_role"]
+    got = run(spark, f"{tmp_path}/a").collect()
+    assert len(got) == len(want) and {(r["role"], r["ts_ns"]): r["value"] for r in got} == want
+    assert run(spark, f"{tmp_path}/none").count() == 0

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.operators import discovery
-from timberline.operators.metric import execute_metric, instant
+from timberline.operators.metric import MOST_STEPS, execute_metric, instant
 from timberline.operators.query import execute, streams
 from timberline.operators.stages import ERROR
 from timberline.operators.templates import Templates
@@ -274,8 +275,14 @@ _add("documents_line_filter", _documents, "select doc_id as ts_ns from documents
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 10**9).alias("ts_ns"), F.col("text").alias("line"), F.create_map(F.lit("role"), F.col("role")).alias("labels"))
-    q = metric_query("sum by (role) (count_over_time({}[100s]))", start=0, end=1000 * 10**9, step=100 * 10**9)
-    return execute_metric(log_rows(rows), q).select(F.col("labels")["role"].alias("role"), "ts_ns", "value")
+    lo, hi = rows.agg(F.min("ts_ns"), F.max("ts_ns")).first()
+    step = 100 * 10**9
+    first, last = -(-(lo or 0) // step), -(-(hi or 0) // step)  # the steps whose windows hold the smallest and the largest
+    parts = []
+    for k in range(first, last + 1, MOST_STEPS):
+        q = metric_query("sum by (role) (count_over_time({}[100s]))", start=k * step, end=min(k + MOST_STEPS - 1, last) * step, step=step)
+        parts.append(execute_metric(log_rows(rows), q))
+    return reduce(DataFrame.union, parts).select(F.col("labels")["role"].alias("role"), "ts_ns", "value")
 
 
 _add("conversations_by_role", _conversations, "with g as (select unnest(range(0, 1001, 100)) as t) select role, t * 1000000000 as ts_ns, cast(count(*) as double) as value from conversations join g on conv_id > t - 100 and conv_id <= t group by role, t")
