@@ -282,6 +282,16 @@ def test_chat_trees(spark):
     assert chat.format_trees(nodes.limit(0)).count() == 0
 
 
+def test_chat_null_conversation(spark):
+    """Rows without a conv_id are one conversation, apart from number 0."""
+    rows = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (0, 0, "user", "c")], "conv_id long, turn long, role string, text string")
+    nodes = chat.from_conversations(rows)
+    got = {r["tree"]: [t for _, t in chat.parse_turns(r["formatted"])] for r in chat.format_trees(nodes).collect()}
+    assert got == {None: ["a", "b"], 0: ["c"]}
+    found = {(r["tree"], r["leaf"], r["node"], r["dist"]) for r in chat.paths(nodes).collect()}
+    assert found >= {(None, 2, 2, 0), (None, 2, 1, 1), (0, 1, 1, 0)}
+
+
 def test_licenses(spark, docs, none):
     texts = [(1, "x\nLicensed under CC BY-NC 4.0.\ny"), (2, "MIT License, MIT license; the mit licenses"), (3, None), (4, "Licensed under the Apache License, Version 2.0."), (5, "version of the public"), (6, "é MIT\nLICENSE")]
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}

@@ -6,7 +6,7 @@ becomes one conversation. The template marks turns with control strings; control
 a backslash put between their first two characters, which is undone on reading, so any text survives.
 
 A path is one string in the end, so one conversation must fit into one task; nothing larger is gathered. Defined
-cases: null text or role is empty; a parent that does not exist makes a root; replies in a cycle, and what leads to one, are cut off; ties of
+cases: null text or role is empty; messages with a null tree (conv_id) are one tree; a parent that does not exist makes a root; replies in a cycle, and what leads to one, are cut off; ties of
 turn follow role, then text; repeated rows are turns of their own; empty tables give no rows; other columns are ignored.
 """
 
@@ -67,12 +67,25 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """nodes with a tree that joins find even where it is null."""
+    return nodes.withColumn("tree", F.struct(F.col("tree").isNull().alias("none"), F.coalesce("tree", F.lit(0)).cast("long").alias("id")))
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tree", F.when(~F.col("tree.none"), F.col("tree.id")))
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """nodes (tree, node, parent) -> (tree, leaf, node, dist): each leaf's path to its root, the leaf at distance 0.
 
     Rows of two kinds share one join a round: hops (start, its 2^k-th ancestor) and places on paths (leaf, ancestor).
-    A parent that is no node ends up on a path, too; a join with the nodes drops it.
+    A parent that is no node ends up on a path, too; a join with the nodes drops it. Nodes with a null tree are one tree.
     """
+    return _plain(_paths(_keyed(nodes)))
+
+
+def _paths(nodes: DataFrame) -> DataFrame:
     nodes = nodes.select("tree", "node", "parent")
     up = nodes.where("parent is not null")
     own = nodes.select("tree", "node", F.lit(1).alias("own"), F.lit(0).alias("child"))
@@ -105,10 +118,11 @@ def format_trees(nodes: DataFrame, branches: int | None = None, loss_roles: tupl
     """nodes (tree, node, parent, score, role, text) -> tree, leaf, rank, score, formatted, spans.
 
     A branch scores the mean of its nodes' scores (null: 0); branches: how many of each tree to keep, best first,
-    ties to the smaller leaf; None keeps all. read_back: instead, what reading each formatted conversation gives (see READ).
+    ties to the smaller leaf; None keeps all. Nodes with a null tree are one tree. read_back: instead, what reading each formatted conversation gives (see READ).
     """
-    nodes = materialize(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), "role", "text"), "chat-nodes")
-    on_path = paths(nodes).join(nodes.select("tree", "node", "score", "role", "text"), ["tree", "node"])
+    nodes = _keyed(nodes).select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), "role", "text")
+    nodes = materialize(nodes, "chat-nodes")
+    on_path = _paths(nodes).join(nodes.select("tree", "node", "score", "role", "text"), ["tree", "node"])
     branch = on_path.repartition("tree").groupBy("tree", "leaf").agg(
         F.avg("score").alias("score"),
         F.sort_array(F.collect_list(F.struct((-F.col("dist")).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"),
@@ -129,7 +143,7 @@ def format_trees(nodes: DataFrame, branches: int | None = None, loss_roles: tupl
         out = batches(it, schema, make)
         return batches(out, READ_ARROW, _read) if read_back else out
 
-    rows = branch.select("tree", "leaf", "rank", "score", "turns")
+    rows = _plain(branch).select("tree", "leaf", "rank", "score", "turns")
     return rows.mapInArrow(run, READ if read_back else "tree long, leaf long, rank int, score double, formatted string, spans array<array<long>>")
 
 
