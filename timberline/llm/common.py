@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +58,13 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(batches_: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, so that only a few become Python objects at once."""
+    for batch in batches_:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Words of a text after lower-casing A-Z: runs of 0-9, a-z and non-ASCII characters, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER_WORDS).split() if text else []

@@ -2,12 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 
+def forest(u: list[int], v: list[int]) -> dict[int, int]:
+    """The smallest node of each node's component, for the edges (u[i], v[i])."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for a, b in zip(u, v, strict=True):
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in list(up)}
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the same components, as few stars: those of each batch of rows on its own."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            stars = forest(batch.column("u").to_pylist(), batch.column("v").to_pylist())
+            pairs = np.array([(x, m) for x, m in stars.items() if x != m], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -15,7 +48,7 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (u, v) of long, any direction, any repeats -> (node, component): the smallest node of each node that has
     an edge. Each round's edges are written to the shared folder."""
-    edges = materialize(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    edges = materialize(contracted(edges.where("u != v")).distinct(), "cc")
     mark = _mark(edges)
     for _ in range(most_rounds):
         both = edges.union(edges.select("v", "u"))

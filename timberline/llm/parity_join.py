@@ -6,17 +6,21 @@ it from below. With a similarity of at least NUM/DEN and sizes a <= b, the symme
 (a + b) * (DEN - NUM) / (DEN + NUM) and b <= a * DEN / NUM: texts are sketched per band of sizes (and at the next
 band if a larger partner may lie there) with more lanes than that, so that partners must share filled lanes. By the
 prefix principle it is enough to publish, in one order fixed for all, D + 1 lanes of a text's D possible unlike ones;
-SLACK more are published, so partners share SLACK + 1.
-
-The order puts lanes last whose shingles all are frequent in
+slack(n) more are published, so partners share slack + 1. The order puts lanes last whose shingles all are frequent in
 a bounded sample, as those of boilerplate are, and lanes of many shingles first; those seldom agree by chance.
 
-Published lanes travel as packed arrays, a few bytes a lane, dealt out by hash. Where lanes meet, each text pairs
-with the smallest of its group only. A second sketch of single bits drops pairs that are too far apart, and the rest
-is verified on the shingles themselves. Only for groups whose members the links found so far leave in several
-components are the pairs between different components looked at, too, so no link that matters is lost and copies
-never become all pairs. A lane that many texts share (HOT) is such a group only for texts with more hot lanes than
-the SLACK of their smallest possible partner: any other text meets its partners in another lane. A map task sends at most HOT entries of one lane.
+1. Published lanes travel as packed arrays, a few bytes a lane, dealt out by hash. Where lanes meet, each text pairs
+   with one other of its group only. A second sketch of single bits, one for each shingle or more, drops pairs that
+   are too far apart. What is left makes first families.
+2. Groups whose members are of several families are searched for pairs between them, size band by size band, on the bit
+   sketches, in blocks; only one edge for each family that joins another leaves a block. A lane that many texts share
+   (HOT) is such a group only for texts with more hot lanes than the slack of their smallest possible partner: any
+   other text meets its partners in another lane. No link that the sketches allow leads out of a family any more.
+3. All sets of a family are compared on the shingles themselves, in blocks and pairs of blocks, as products of 0-1
+   matrices. That gives each text's number of links, and a forest of true links, whose components are the result.
+
+So no pair of texts is a row of a shuffle but those of steps 1 and 2, at most a few for each text and lane. The
+comparisons of step 2 and 3 grow with the square of a family, inside numpy; rows grow with its size times its blocks.
 
 Texts with equal shingle sets are one class from the start, however many they are. Sets are compared by 64-bit
 hashes of their shingles, classes by 128 bits of a digest.
@@ -39,16 +43,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .components import components
+from .bitmaps import among, bitmap, spot
+from .common import materialize, small
+from .components import components, forest
 from .shingles import in_parts, mix, shingle_sets
 
 NUM, DEN = 75, 100
-BAND, HOT, BITS, FILTER_BITS = 2, 32, 1024, 1 << 25
+BAND, HOT, BITS = 2, 32, 1024
 CHIEFS = 16  # texts that each member of a hot lane's group may pair with
-BLOCK, BLOCK_BYTES = 256, 1 << 21  # classes, and bytes of their compressed texts, that are compared at once when links are counted
+FLUSH = 1 << 19  # lanes that a map task holds before it sends them
+FEW, GROUP = 64, 1_024  # classes of a group that come whole, and that are compared at once with as many others, by their sketches
+BLOCK, BLOCK_BYTES = 512, 1 << 21  # classes, and bytes of their compressed texts, that are compared at once on their shingles
 SAMPLE, LONGEST = 4_000, 8_192  # texts to learn frequent shingles from, and shingles of each (the smallest hashes)
 _COLLAPSED = 0xFFFFFFFF
+NO_ID = -(2**63)
 
 
 def band_of(n: int) -> int:
@@ -62,7 +70,7 @@ def band_of(n: int) -> int:
 def lanes(shingles: np.ndarray, band: int, frequent: np.ndarray | None = None) -> np.ndarray:
     """The published lanes of a set at a band of sizes, as hashes of (band, lane, number of its shingles, XOR of them)."""
     n, top = len(shingles), BAND ** (band + 1)
-    count = max(top * 3 // 4, 4 * top if top <= 128 else 0)
+    count = max(top * 3 // 4, 4 * top if top <= 128 else 0, 1 << 14 if top <= 32 else 0)  # few shingles: one to a lane
     lane = (shingles >> np.uint64(16)) % np.uint64(count)
     order = np.argsort(lane)
     lane = lane[order]
@@ -82,7 +90,8 @@ def lanes(shingles: np.ndarray, band: int, frequent: np.ndarray | None = None) -
 
 
 def slack(n: int) -> int:
-    return 1 + n // 40
+    """Lanes published beyond those needed; none for sets so small that they might not have so many."""
+    return n // 40 + (n >= 32)
 
 
 def published(shingles: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
@@ -96,10 +105,25 @@ def published(shingles: np.ndarray, frequent: np.ndarray | None = None) -> np.nd
     return np.concatenate(out)
 
 
-def bit_sketch(shingles: np.ndarray) -> list[int]:
-    """Parity of the shingles that fall on each of BITS bits, as longs."""
-    parity = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
-    return np.packbits(parity.astype(np.uint8)).view(">i8").astype(np.int64).tolist()
+def bit_sketch(shingles: np.ndarray) -> bytes:
+    """Parity of the shingles that fall on each of BITS bits, or twice as many until there is one for each shingle."""
+    bits = BITS
+    while bits < len(shingles):
+        bits *= 2
+    parity = np.bincount(((shingles >> np.uint64(40)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of words, those of more bytes than size folded onto it; unlike bits never grow by that."""
+    if all(len(s) == size for s in sketches):
+        return np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, size // 8)
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, size // 8), axis=0) for s in sketches])
+
+
+def _may_link(na: np.ndarray, nb: np.ndarray, unlike: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes with so many unlike bits can link."""
+    return (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)) & ((DEN + NUM) * unlike <= (DEN - NUM) * (na + nb))
 
 
 def class_of(shingles: np.ndarray) -> tuple[int, int]:
@@ -109,10 +133,10 @@ def class_of(shingles: np.ndarray) -> tuple[int, int]:
 
 def sets_of(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n, c1, c2 (the class of its set; null if the set is empty), sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sketch", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in small(it):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for lo, part in in_parts(texts):
                 sets = shingle_sets(part)
@@ -128,7 +152,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                     schema=schema,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sketch binary")
 
 
 def frequent_shingles(docs: DataFrame, rows: int, sample: int = SAMPLE, least: int = 3) -> np.ndarray:
@@ -139,7 +163,7 @@ def frequent_shingles(docs: DataFrame, rows: int, sample: int = SAMPLE, least: i
     schema = pa.schema([("s", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in small(it):
             for _, texts in in_parts(batch.column("text").to_pylist()):
                 # A fixed part of the hash range of very long texts bounds what is sent.
                 yield pa.RecordBatch.from_pydict({"s": [s[:LONGEST].tobytes() for s in shingle_sets(texts) if len(s)]}, schema=schema)
@@ -239,7 +263,7 @@ def meetings(docs: DataFrame, buckets: int, frequent: np.ndarray | None = None)
             classes.clear()
             parts.clear()
 
-        for batch in it:
+        for batch in small(it):
             for _, texts in in_parts(batch.column("text").to_pylist()):
                 for s in shingle_sets(texts):
                     if len(s):
@@ -247,7 +271,7 @@ def meetings(docs: DataFrame, buckets: int, frequent: np.ndarray | None = None)
                         parts.append(p)
                         classes.append(class_of(s)[0])
                         size += len(p)
-                if size >= 2_000_000:
+                if size >= FLUSH:
                     yield from flush()
                     size = 0
         if parts:
@@ -306,81 +330,162 @@ def meetings(docs: DataFrame, buckets: int, frequent: np.ndarray | None = None)
 BITS_SENT = 32  # of a lane's hash, besides its bucket: lanes that only look alike are told apart by verification
 
 
-def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes whose sizes and bit sketches allow a link; sets: c1, n, sketch, one row a class."""
-    left = sets.select(F.col("c1").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = sets.select(F.col("c1").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    unlike = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where((DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")) & ((DEN + NUM) * unlike <= (DEN - NUM) * (F.col("na") + F.col("nb"))))
-        .select("a", "b")
-    )
+def near_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes whose sizes and bit sketches allow a link; classes: c1, n, sketch, one row a class."""
+    left = classes.select(F.col("c1").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = classes.select(F.col("c1").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(it, 4096):
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            batch = batch.filter(pa.array(DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)))
+            a, b, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "na", "nb"))
+            sa, sb = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
+            size, near = np.array([min(len(x), len(y)) for x, y in zip(sa, sb, strict=True)], dtype=np.int64), np.zeros(len(a), bool)
+            for z in np.unique(size).tolist():
+                at = np.flatnonzero(size == z)
+                unlike = np.bitwise_count(folded([sa[i] for i in at], z) ^ folded([sb[i] for i in at], z)).sum(axis=1, dtype=np.int64)
+                near[at] = _may_link(na[at], nb[at], unlike)
+            yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], schema=schema)
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _between(n: np.ndarray, family: np.ndarray, sketches: list[bytes], own: np.ndarray, block: np.ndarray) -> list[tuple[int, int]]:
+    """Edges between families of members that may link: one at least for any two families joined by such pairs, at
+    most one for each family. Pairs of which neither is own, or of one block if there are two, are met elsewhere."""
+    names, of = np.unique(family, return_inverse=True)
+    up = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    edges: list[tuple[int, int]] = []
+    most = int(np.bincount(of).argmax())
+    two = block.min() != block.max()
+    size = np.array([len(s) for s in sketches])
+    at = {z: folded([s if len(s) >= z else bytes(z) for s in sketches], z) for z in np.unique(size).tolist()}  # shorter ones are not compared at z
+    for i in np.flatnonzero(of != most).tolist():  # pairs inside the largest family need no look
+        other = of != of[i]
+        other[:i] &= of[:i] == most  # a pair of two others once
+        if not own[i]:
+            other &= own
+        if two:
+            other &= block != block[i]
+        other &= DEN * np.minimum(n, n[i]) >= NUM * np.maximum(n, n[i])
+        j = np.flatnonzero(other)
+        for z in np.unique(np.minimum(size[j], size[i])).tolist():
+            k = j[np.minimum(size[j], size[i]) == z]
+            unlike = np.bitwise_count(at[z][k] ^ at[z][i]).sum(axis=1, dtype=np.int64)
+            for m in k[_may_link(n[k], n[i], unlike)].tolist():
+                x, y = top(of[i]), top(of[m])
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    edges.append((int(family[i]), int(family[m])))
+    return edges
+
+
+def _within_few(start: np.ndarray, size: np.ndarray, n: np.ndarray, family: np.ndarray, sketches: list[bytes]) -> dict[int, int]:
+    """Joined families of many groups of FEW members or less at once, all pairs of a group; rows lie group by group."""
+    # Place r of a group pairs with all behind it: size - 1 - r partners.
+    place = np.arange(len(n)) - np.repeat(start, size)
+    behind = np.repeat(size, size) - 1 - place
+    i = np.repeat(np.arange(len(n)), behind)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(behind) - behind, behind)
+    fit = (family[i] != family[j]) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))
+    i, j = i[fit], j[fit]
+    bytes_of = np.array([len(s) for s in sketches])
+    least = np.minimum(bytes_of[i], bytes_of[j])
+    joined: list[tuple[int, int]] = []
+    for z in np.unique(least).tolist():
+        x, y = i[least == z], j[least == z]
+        used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        bits = folded([sketches[k] for k in used.tolist()], z)
+        for lo in range(0, len(x), 1 << 14):
+            p, q = x[lo : lo + (1 << 14)], y[lo : lo + (1 << 14)]
+            unlike = np.bitwise_count(bits[at[lo : lo + len(p)]] ^ bits[at[len(x) + lo : len(x) + lo + len(q)]]).sum(axis=1, dtype=np.int64)
+            near = _may_link(n[p], n[q], unlike)
+            joined += set(zip(family[p[near]].tolist(), family[q[near]].tolist(), strict=True))
+    return forest([e[0] for e in joined], [e[1] for e in joined])
+
+
+def between_families(member: DataFrame) -> DataFrame:
+    """member (gid, c1, n, sketch, family) -> edges (u, v) between families that have members in one group which may
+    link by size and sketch.
+
+    Groups of FEW members or less come whole, many at once. Larger ones are dealt into bands of sizes a little wider
+    than the ratio of partners' sizes, so partners are of one band or of neighbours: a text is in its own and, as a
+    guest, in the next one's group. Those of more than GROUP members are cut into blocks, and each pair of blocks is a
+    task record of its own."""
+    size = member.groupBy("gid").agg(F.count("*").alias("m"))
+    member = materialize(member.join(size, "gid"), "join-open")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def few(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of their groups; what is held ends with whole groups."""
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table) -> pa.RecordBatch:
+            gid, n, family = (table.column(c).to_numpy() for c in ("gid", "n", "family"))
+            start = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]]))
+            tops = _within_few(start, np.diff(start, append=len(gid)), n, family, table.column("sketch").to_pylist())
+            edges = [(x, m) for x, m in tops.items() if x != m]
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], schema=schema)
+
+        for batch in small(it, 2048):
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            gid = table.column("gid").to_numpy()
+            cut = int(np.flatnonzero(gid != gid[-1])[-1]) + 1 if (gid != gid[-1]).any() else 0
+            if cut:
+                yield done(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    parts = int(member.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = member.where(F.col("m") <= FEW).select("gid", "n", "family", "sketch").repartition(parts, "gid").sortWithinPartitions("gid")
+    narrow = narrow.mapInArrow(few, "u long, v long")
+
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM * 1.0001))).cast("int")
+    both = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))
+    dealt = member.where(F.col("m") > FEW).withColumn("at", F.explode(both)).select("gid", "c1", "n", "sketch", "family", "at.band", "at.own")
+    wide = dealt.groupBy("gid", "band").agg(F.count("*").alias("m"), F.min("family").alias("lo"), F.max("family").alias("hi"), F.max("own").alias("any"))
+    wide = wide.where("lo < hi and any").select("gid", "band", F.ceil(F.col("m") / GROUP).cast("int").alias("blocks"))
+    dealt = dealt.join(wide, ["gid", "band"]).withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other", "blocks")
+
+    def near(table: pa.Table) -> pa.Table:
+        n, family, own, block = (table.column(c).to_numpy() for c in ("n", "family", "own", "block"))
+        found = _between(n, family, table.column("sketch").to_pylist(), own, block)
+        return pa.table({"u": pa.array([e[0] for e in found], pa.int64()), "v": pa.array([e[1] for e in found], pa.int64())})
+
+    return narrow.union(paired.groupBy("gid", "band", "x", "y").applyInArrow(near, "u long, v long")).distinct()
 
 
 def texts_of(docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """One text of each wanted class: owners (c1, doc_id) -> c1, text (compressed).
-
-    A bitmap of FILTER_BITS bits over doc_ids, of fixed size whatever the input, keeps most other texts out of the
-    shuffle; what it lets through wrongly, the join drops.
-    """
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("long")
-    maps = owners.select(spot(F.col("doc_id")).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m")).collect()
-    per = 8 * 4096
-    bitmap = np.zeros(FILTER_BITS + per, dtype=bool)
-    for r in maps:
-        got = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little")
-        at = (r["k"] - 1) * per
-        bitmap[at : at + len(got)] |= got.astype(bool)[: len(bitmap) - at]
-    # A value p has bucket 1 + (p - 1) // per and position (p - 1) % per; 0 has bucket 0 and position 0.
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
-    zero = any(r["k"] == 0 for r in maps)
+    """One text of each wanted class: owners (c1, id: a doc_id, NO_ID for null) -> c1, text (compressed). A bitmap over ids
+    keeps most other texts out of the shuffle."""
+    bits, packed = bitmap(owners, "id")
+    sent = docs.sparkSession.sparkContext.broadcast(packed)  # 32 MB at most
     schema = pa.schema([("id", pa.int64()), ("c1", pa.int64()), ("text", pa.binary())])
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pack = np.unpackbits(sent.value).astype(bool), zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in it:
-            p = batch.column("p").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(np.where(p == 0, zero, known[p - 1])))
-            ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            for lo, part in in_parts(texts):
-                sets = shingle_sets(part)
-                found = [(i, class_of(s)[0], pack(t.encode("utf-8", "surrogatepass"))) for i, s, t in zip(ids[lo : lo + len(part)], sets, part, strict=True) if len(s)]
-                yield pa.RecordBatch.from_pydict({"id": [f[0] for f in found], "c1": [f[1] for f in found], "text": [f[2] for f in found]}, schema=schema)
+            for part in small([batch.filter(pa.array(among(batch.column("p").to_numpy(), sent.value)))]):
+                ids, texts = part.column("id").to_pylist(), part.column("text").to_pylist()
+                for lo, some in in_parts(texts):
+                    sets = shingle_sets(some)
+                    found = [(i, class_of(s)[0], pack(t.encode("utf-8", "surrogatepass"))) for i, s, t in zip(ids[lo : lo + len(some)], sets, some, strict=True) if len(s)]
+                    yield pa.RecordBatch.from_pydict({"id": [f[0] for f in found], "c1": [f[1] for f in found], "text": [f[2] for f in found]}, schema=schema)
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text", spot(F.col("doc_id")).alias("p")).mapInArrow(keep, "id long, c1 long, text binary")
-    return rows.join(owners.select(F.col("doc_id").alias("id"), "c1"), ["id", "c1"]).dropDuplicates(["c1"]).select("c1", "text")
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link, by their shingles themselves."""
-    both = pairs.join(texts.select(F.col("c1").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("c1").alias("a"), F.col("text").alias("ta")), "a")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in it:
-            a, b, ta, tb = (batch.column(c) for c in ("a", "b", "ta", "tb"))
-            a, b = a.to_pylist(), b.to_pylist()
-            keep: list[tuple[int, int]] = []
-            for lo in range(0, len(a), 128):
-                part = range(lo, min(lo + 128, len(a)))
-                where: dict[int, tuple] = {a[i]: (ta, i) for i in part} | {b[i]: (tb, i) for i in part}  # each text once
-                texts = [unpack(c[i].as_py()).decode("utf-8", "surrogatepass") for c, i in where.values()]
-                sets = {}
-                for at, some in in_parts(texts):
-                    sets |= dict(zip(list(where)[at : at + len(some)], shingle_sets(some), strict=True))
-                for i in part:
-                    x, y = sets[a[i]], sets[b[i]]
-                    both = np.concatenate([x, y])
-                    both.sort(kind="stable")
-                    same = int(np.count_nonzero(both[1:] == both[:-1]))
-                    if DEN * same >= NUM * (len(x) + len(y) - same):
-                        keep.append((a[i], b[i]))
-            yield pa.RecordBatch.from_pydict({"a": [k[0] for k in keep], "b": [k[1] for k in keep]}, schema=schema)
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").withColumn("p", spot("id", bits)).mapInArrow(keep, "id long, c1 long, text binary")
+    return rows.join(owners.select("id", "c1"), ["id", "c1"]).dropDuplicates(["c1"]).select("c1", "text")
 
 
 def _held(texts: list) -> list[np.ndarray]:
@@ -443,116 +548,135 @@ def _unpacked(raw: bytes) -> list[np.ndarray]:
     return np.split(values[np.frombuffer(raw, np.uint32, -1, at + 8 * distinct)], np.cumsum(sizes)[:-1])
 
 
-_BLOCK = "component long, blocks int, block int, names array<long>, n array<long>, sets binary"
-_BLOCK_ARROW = pa.schema([("component", pa.int64()), ("blocks", pa.int32()), ("block", pa.int32()), ("names", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("sets", pa.binary())])
+_BLOCK = "family long, blocks int, block int, names array<long>, links array<long>, tops array<long>, sets binary"
+_BLOCK_ARROW = pa.schema(
+    [("family", pa.int64()), ("blocks", pa.int32()), ("block", pa.int32()), ("names", pa.list_(pa.int64())), ("links", pa.list_(pa.int64())), ("tops", pa.list_(pa.int64())), ("sets", pa.binary())]
+)
 
 
-def _within(component: int, blocks: int, block: int, names: list[int], texts: list[bytes]) -> pa.Table:
-    sets = _held(texts)
-    n = _linked(sets, sets).sum(axis=1) - 1  # each set is near itself
+def _within(family: int, blocks: int, block: int, names: list[int], sets: list[np.ndarray]) -> dict:
+    """A block's row: of each class, with how many of the block it links, and the smallest it is joined with by links."""
+    if len(sets) == 2:
+        same = len(np.intersect1d(*sets, assume_unique=True))
+        near = np.array([[True, DEN * same >= NUM * (len(sets[0]) + len(sets[1]) - same)]] * 2)
+        near[1] = near[1, ::-1]
+    else:
+        near = _linked(sets, sets)
+    x, y = np.nonzero(np.triu(near, 1))
+    tops = forest([names[i] for i in x.tolist()], [names[i] for i in y.tolist()])
     raw = _packed(sets) if blocks > 1 else None
-    return pa.Table.from_pydict({"component": [component], "blocks": [blocks], "block": [block], "names": [names], "n": [n.tolist()], "sets": [raw]}, schema=_BLOCK_ARROW)
-
-
-def count_links(group: DataFrame, texts: DataFrame) -> DataFrame:
-    """group (node, component), texts (c1, text: compressed) of all nodes -> c1, n_links: with how many other classes
-    each class links. Links never leave a component, so all pairs inside each are compared, in blocks of about BLOCK
-    classes or BLOCK_BYTES of text; each pair of blocks is a group of its own. Two classes alone have one link."""
-    size = group.groupBy("component").agg(F.count("*").alias("m"))
-    two = group.join(size.where("m = 2"), "component").select(F.col("node").alias("c1"), F.lit(1).cast("long").alias("n"))
-    member = group.join(size.where("m > 2").select("component"), "component").withColumnRenamed("node", "c1").join(texts, "c1")
-    member = materialize(member.select("component", "c1", "text"), "join-members")
-    blocks = member.groupBy("component").agg(F.count("*").alias("m"), F.sum(F.octet_length("text")).alias("bytes"))
-    blocks = blocks.select("component", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = member.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int"))
-
-    def one(table: pa.Table) -> pa.Table:
-        component, blocks, block = (table.column(c)[0].as_py() for c in ("component", "blocks", "block"))
-        return _within(component, blocks, block, table.column("c1").to_pylist(), table.column("text").to_pylist())
+    links = (near.sum(axis=1) - 1).tolist()  # each set is near itself
+    return {"family": family, "blocks": blocks, "block": block, "names": names, "links": links, "tops": [tops.get(c, c) for c in names], "sets": raw}
+
+
+def compared(group: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """group (node, component), texts (c1, text: compressed) of all nodes -> c1, n_links (with how many other classes each
+    links) and edges (u, v) of links that join what links join. All sets of a component are compared, in blocks of about
+    BLOCK classes or BLOCK_BYTES of text; each pair of blocks is a task record of its own."""
+    member = group.select(F.col("node").alias("c1"), F.col("component").alias("family")).join(texts, "c1")
+    member = materialize(member.select("family", "c1", "text"), "join-members")
+    blocks = member.groupBy("family").agg(F.count("*").alias("m"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = blocks.select("family", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = member.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int"))
+
+    def one(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of their blocks; only those of one block are held."""
+        now, names, sets = None, [], []
+        for batch in small(it):
+            done = []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("family", "blocks", "block")), strict=True)
+            for key, c, s in zip(keys, batch.column("c1").to_pylist(), _held(batch.column("text").to_pylist()), strict=True):
+                if key != now:
+                    if now is not None:
+                        done.append(_within(*now, names, sets))
+                    now, names, sets = key, [], []
+                names.append(c)
+                sets.append(s)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=_BLOCK_ARROW)
+        if now is not None:
+            yield pa.RecordBatch.from_pylist([_within(*now, names, sets)], schema=_BLOCK_ARROW)
 
     def between(table: pa.Table) -> pa.Table:
-        names, n = table.column("names").to_pylist(), []
+        names, rows = table.column("names").to_pylist(), []
         if len(names) == 2:  # a block may be empty
             near = _linked(*map(_unpacked, table.column("sets").to_pylist()))
-            n = [*near.sum(axis=1).tolist(), *near.sum(axis=0).tolist()]
-        return pa.table({"c1": pa.array([c for x in names for c in x] if n else [], pa.int64()), "n": pa.array(n, pa.int64())})
-
-    done = materialize(dealt.groupBy("component", "block").applyInArrow(one, _BLOCK), "join-blocks")
-    inside = done.select(F.explode(F.arrays_zip("names", "n")).alias("p")).select(F.col("p.names").alias("c1"), F.col("p.n").alias("n"))
+            x, y = np.nonzero(near)
+            tops = forest([names[0][i] for i in x.tolist()], [names[1][i] for i in y.tolist()])
+            links = [*near.sum(axis=1).tolist(), *near.sum(axis=0).tolist()]
+            rows = [(c, m, tops.get(c, c)) for c, m in zip(names[0] + names[1], links, strict=True)]
+        return pa.table({k: pa.array([r[i] for r in rows], pa.int64()) for i, k in enumerate(("c1", "links", "top"))})
+
+    parts = int(group.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.repartition(parts, "family", "block").sortWithinPartitions("family", "block")
+    done = materialize(ordered.select("family", "blocks", "block", "c1", "text").mapInArrow(one, _BLOCK), "join-blocks")
+    inside = done.select(F.explode(F.arrays_zip("names", "links", "tops")).alias("p")).select(F.col("p.names").alias("c1"), F.col("p.links").alias("links"), F.col("p.tops").alias("top"))
     wide = done.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
-    wide = wide.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "names", "sets")
-    across = wide.groupBy("component", "lo", "hi").applyInArrow(between, "c1 long, n long")
-    return two.union(inside).union(across).groupBy("c1").agg(F.sum("n").alias("n_links"))
+    wide = wide.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "names", "sets")
+    across = wide.groupBy("family", "lo", "hi").applyInArrow(between, "c1 long, links long, top long")
+    every = materialize(inside.union(across), "join-links")
+    return every.groupBy("c1").agg(F.sum("links").alias("n_links")), every.where("top <> c1").select(F.col("c1").alias("u"), F.col("top").alias("v"))
 
 
 def hot_only(hot: DataFrame, sizes: DataFrame) -> DataFrame:
     """hot (gid, c1), sizes (c1, n) -> c1 of classes that may share nothing but hot lanes with a partner: those with more
     of them than the slack of their smallest partner, as two sets are sure of one lane more than the smaller's."""
     least = F.floor((NUM * F.col("n") + DEN - 1) / DEN)
-    return hot.groupBy("c1").agg(F.count("*").alias("h")).join(sizes, "c1").where(F.col("h") > 1 + F.floor(least / 40)).select("c1")
+    spare = F.floor(least / 40) + (least >= 32).cast("int")
+    return hot.groupBy("c1").agg(F.count("*").alias("h")).join(sizes, "c1").where(F.col("h") > spare).select("c1")
+
 
+def families(docs: DataFrame, classes: DataFrame, buckets: int, rows: int) -> DataFrame:
+    """docs (text), classes (c1, n, sketch) -> node, component: groups of classes such that no link leads out of one."""
+    met = materialize(meetings(docs, buckets, frequent_shingles(docs, rows)), "join-met")
+    near = near_enough(met.where("kind = 'pair'").select("a", "b").distinct(), classes)
+    first = materialize(components(near.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-first")
+    hot = met.where("kind = 'hot'").select(F.col("a").alias("gid"), F.col("b").alias("c1"))
+    short = hot_only(hot, classes.select("c1", "n"))
+    member = met.where("kind = 'group'").select(F.col("a").alias("gid"), F.explode("members").alias("c1")).union(hot.join(short, "c1", "left_semi").select("gid", "c1"))
+    member = member.distinct().join(first.withColumnRenamed("node", "c1"), "c1", "left").withColumn("family", F.coalesce("component", "c1"))
+    split = member.groupBy("gid").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("gid")
+    open_ = member.join(split, "gid", "left_semi").join(classes.select("c1", "n", "sketch"), "c1").select("gid", "c1", "n", "sketch", "family")
+    joined = materialize(components(between_families(open_)), "join-joined")
+    to = joined.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    moved = first.join(to, first["component"] == to["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+    alone = joined.join(first.select("node"), "node", "left_anti")  # classes that were no family before
+    return moved.union(alone.select("node", "component"))
 
-def link(docs: DataFrame, buckets: int | None = None, counts: bool = True) -> DataFrame:
+
+def link(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, class (null without words), n_links: with how many
-    other classes its class links (not without counts)."""
+    other classes its class links."""
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
     sets = materialize(sets_of(docs), "join-sets")
     # One row a class. Of classes that agree in their first 64 bits only, pairs meet both, and verification decides.
-    reps = sets.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    sketches = sets.where("n > 0").select("c1", "n", "sketch").dropDuplicates(["c1"])
-    frequent = frequent_shingles(docs, sets.count())
-    met = materialize(meetings(docs, buckets, frequent), "join-met")
-    pairs = materialize(near_enough(met.where("kind = 'pair'").select("a", "b").distinct(), sketches), "join-pairs")
-    owners = sets.where("n > 0").groupBy("c1").agg(F.min("doc_id").alias("doc_id"))
-
-    def owned(p: DataFrame) -> DataFrame:
-        return owners.join(p.select(F.col("a").alias("c1")).union(p.select(F.col("b").alias("c1"))).distinct(), "c1", "left_semi")
-
-    texts = materialize(texts_of(docs, owned(pairs)), "join-texts")
-    links = materialize(verified(pairs, texts), "join-links")
-    group = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    group = materialize(group, "join-components")
-
-    # Groups that still span components: pairs between those, unless looked at before.
-    hot = met.where("kind = 'hot'").select(F.col("a").alias("gid"), F.col("b").alias("c1"))
-    short = hot_only(hot, sets.where("n > 0").groupBy("c1").agg(F.max("n").alias("n")))
-    member = met.where("kind = 'group'").select(F.col("a").alias("gid"), F.explode("members").alias("c1")).union(hot.join(short, "c1", "left_semi").select("gid", "c1"))
-    of = group.withColumnRenamed("node", "c1")
-    member = member.distinct().join(sketches.select("c1", "n"), "c1").join(of, "c1", "left").withColumn("component", F.coalesce("component", "c1"))
-    split = member.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gid")
-    open_ = materialize(member.join(split, "gid", "left_semi"), "join-open")
-    x, y = (open_.select("gid", F.col("c1").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}")) for c in "xy")
-    fit = DEN * F.least("nx", "ny") >= NUM * F.greatest("nx", "ny")
-    rest = x.join(y, "gid").where((F.col("cx") < F.col("cy")) & fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = materialize(near_enough(rest.join(pairs, ["a", "b"], "left_anti"), sketches), "join-rest")
-    if not rest.isEmpty():
-        other = materialize(texts_of(docs, owned(rest)), "join-texts")
-        links = materialize(links.union(verified(rest, other)), "join-links")
-        texts = texts.union(other.join(texts.select("c1"), "c1", "left_anti"))
-        group = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-components")
-
-    named = reps.join(group.withColumnRenamed("node", "c1"), "c1", "left")
-    if counts:
-        named = named.join(count_links(group, texts), "c1", "left")
+    some = sets.where("n > 0")
+    reps = some.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"))
+    classes = materialize(some.groupBy("c1").agg(F.max("n").alias("n"), F.min_by("sketch", "c2").alias("sketch"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")), "join-sketches")
+    near = materialize(families(docs, classes, buckets, sets.count()), "join-families")
+    owners = classes.select("c1", "id").join(near.select(F.col("node").alias("c1")), "c1", "left_semi")
+    counts, edges = compared(near, texts_of(docs, materialize(owners, "join-owners")))
+    group = components(edges).withColumnRenamed("node", "c1")
+
+    named = reps.join(group, "c1", "left").join(counts, "c1", "left")
     key = F.struct(F.col("component").isNull().alias("own"), F.coalesce("component", "c1").alias("x"), F.when(F.col("component").isNull(), F.col("c2")).alias("y"))
     named = named.withColumn("k", key)
     least = named.groupBy("k").agg(F.min("doc_id").alias("component_id"))
-    n_links = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if counts else []
-    named = materialize(named.join(least, "k").select("c1", "c2", "component_id", *n_links), "join-classes")
+    named = materialize(named.join(least, "k").select("c1", "c2", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "join-classes")
     out = sets.join(named, ["c1", "c2"], "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.concat_ws("-", F.hex("c1"), F.hex("c2"))).alias("class"),
-        *n_links,
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without documents that are linked with one of a smaller doc_id, directly or through others; of rows with
     one doc_id and one component, all stay or go together. Rows with a null doc_id stay."""
-    joined = link(docs, counts=False).select(F.col("doc_id").alias("_id"), "component_id").where("component_id < _id").select("_id").distinct()
+    joined = link(docs).select(F.col("doc_id").alias("_id"), "component_id").where("component_id < _id").select("_id").distinct()
     return docs.join(joined, docs["doc_id"] == joined["_id"], "left_anti")

@@ -80,7 +80,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def in_parts(texts: list, most: int = 1 << 21) -> Iterator[tuple[int, list]]:
+def in_parts(texts: list, most: int = 1 << 18) -> Iterator[tuple[int, list]]:
     """Neighbouring texts together while they have at most so many characters; a longer text comes alone."""
     lo = size = 0
     for i, t in enumerate(texts):
