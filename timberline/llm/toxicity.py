@@ -7,11 +7,13 @@ one word in a very long text counts as in a short one. Table and softmax are tra
 chosen by the model itself: the top windows of every labelled text.
 
 As the model is linear in n-grams, scoring needs one number per n-gram row; each worker keeps the numbers of words it
-has met in a table of bounded size. Training sees at most SAMPLE labelled rows (drawn by a hash of doc_id), whole.
+has met in a table of bounded size. Training sees at most SAMPLE labelled rows (drawn by a hash of doc_id), whole, of about
+SAMPLE_CHARS characters together.
 
 Defined cases: null or empty text scores as a window without words; rows without a label, with a null id or with a
 held-out id are never learned from; of several labels of one id all count; with one class only, every score is its
-smoothed share, and with no labels 0; repeated rows each give a row; other columns are ignored.
+smoothed share, and with no labels 0; repeated rows each give a row; other columns are kept, but for one with
+the name of the column that is added.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, lower_words
+from .common import crc_mod, lower_words, small, without
 
-SAMPLE, ROWS_LOG, DIM, WINDOW, NGRAMS = 6_000, 16, 8, 4, (3, 4, 5, 6)
+SAMPLE, ROWS_LOG, DIM, WINDOW, NGRAMS = 6_000, 16, 8, 4, (3, 4, 5, 6, 7, 8)
+SAMPLE_CHARS = 48_000_000  # of the texts that reach the driver
 ROWS = 1 << ROWS_LOG
 
 
@@ -90,8 +93,9 @@ def _windows(v: np.ndarray) -> np.ndarray:
     return (c[WINDOW:] - c[:-WINDOW]) / WINDOW
 
 
-def train(texts: list[str], y: np.ndarray, epochs: int = 8, rate: float = 0.05, top: int = 2, seed: int = 0) -> Bag:
-    """Table and softmax together; every text gives its `top` highest windows to each epoch."""
+def train(texts: list[str], y: np.ndarray, epochs: int = 12, rate: float = 0.05, top: int = 2, seed: int = 0, explore: int = 8, most: float = 12.0) -> Bag:
+    """Table and softmax together; every text gives its `top` highest windows to each epoch, and random ones to the
+    first `explore`. Toxic texts weigh as much as the others together, each `most` times as much as another at most."""
     y = np.asarray(y, dtype=float)
     if len(y) == 0 or y.min() == y.max():
         share = 0.0 if len(y) == 0 else (y.sum() + 1) / (len(y) + 2)
@@ -104,13 +108,13 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 8, rate: float = 0.05,
     flat, start = grams(list(index))
     size = np.diff(start, append=len(flat))
     # Words of few texts say little by themselves: their own row and rare n-grams start at nothing like all others.
-    table = rng.normal(0, 0.05, (ROWS, DIM))
+    table = rng.normal(0, 0.02, (ROWS, DIM))
     soft = rng.normal(0, 0.3, (DIM, 2))
     bias = np.array([0.0, -2.0])
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in (("table", table), ("soft", soft), ("bias", bias))}
     step = 0
     positive = np.flatnonzero(y == 1)
-    balance = np.where(y == 1, min(4.0, (len(y) - len(positive)) / max(1, len(positive))), 1.0)
+    balance = np.where(y == 1, min(most, (len(y) - len(positive)) / max(1, len(positive))), 1.0)
     for epoch in range(epochs):
         logit = _means((table @ (soft[:, 1] - soft[:, 0]))[flat], start)
         picked, target, weight = [], [], []
@@ -121,9 +125,9 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 8, rate: float = 0.05,
             w = _windows(logit[words])
             # At first every window of a toxic text is as good a guess as any other: random ones join in.
             best = np.argpartition(w, -min(top, len(w)))[-min(top, len(w)) :]
-            if epoch < 3:
+            if epoch < explore:
                 best = np.union1d(best, rng.integers(0, len(w), min(len(w), 12 if y[d] else 6)))
-            if y[d] and epoch >= 3:
+            if y[d] and epoch >= explore:
                 best = best[[w[best].argmax()]]
             for b in best:
                 picked.append(words[b : b + WINDOW])
@@ -155,27 +159,34 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 8, rate: float = 0.05,
     return Bag(table @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, sample: int = SAMPLE) -> Bag:
-    """A model from at most `sample` labelled rows whose crc32(id) mod modulus isn't `held`; whole texts reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Bag:
+    """A model from at most `sample` labelled rows whose crc32(id) mod modulus isn't `held`; whole texts, about `chars`
+    characters of them at most, reach the driver."""
     chosen = (
         labels.where(F.col(label).isin(0, 1) & (crc_mod(F.col("doc_id"), modulus) != held))
         .select("doc_id", F.col(label).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
         .limit(sample)
     )
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()  # at most `sample` rows of labels
-    got = sorted(got, key=lambda r: (r["doc_id"], r["y"], r["text"] or ""))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of labels
+    # Rows in order of a hash while their texts have at most `chars` characters together.
+    sizes = sorted((r["h"], r["doc_id"], r["y"], r["n"]) for r in rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect())
+    sums = np.cumsum([r[3] for r in sizes])
+    if len(sizes) and sums[-1] > chars:
+        last = max(1, int(np.searchsorted(sums, chars, "right")))
+        rows = rows.where((F.xxhash64("doc_id") < sizes[last - 1][0]) | (F.col("doc_id") == sizes[last - 1][1]))
+    got = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["y"], r["text"] or ""))
     return train([r["text"] for r in got], np.array([r["y"] for r in got]))
 
 
 def classify(docs: DataFrame, model: Bag, column: str = "score") -> DataFrame:
-    """docs (text, ...) -> the same columns and `column`: how likely label 1 is."""
-    assert column not in docs.columns
+    """docs (text, ...) -> the same columns and `column`: how likely label 1 is; an older column of that name gives way."""
+    docs = without(docs, column)
     sent = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))  # ROWS numbers
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bag = Bag(*sent.value)
-        for batch in it:
+        for batch in small(it):
             yield batch.append_column(column, pa.array(bag.score(batch.column("text").to_pylist()), pa.float64()))
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
