@@ -58,6 +58,22 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores behind it as keep it apart from all others."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, column: str) -> DataFrame:
+    """df without a column of this name, in whatever case."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != column.lower()])
+
+
 def small(batches_: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many, so that only a few become Python objects at once."""
     for batch in batches_:
@@ -85,6 +101,6 @@ def crc_mod(column, modulus: int):
 
 def batches(rows: Iterator[pa.RecordBatch], schema: pa.Schema, make) -> Iterator[pa.RecordBatch]:
     """Applies make(columns as a dict of Python lists) -> dict of lists to each batch."""
-    for batch in rows:
+    for batch in small(rows):
         out = make(batch.to_pydict())
         yield pa.RecordBatch.from_pydict(out, schema=schema)

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER_WORDS, lower_words
+from .common import _LOWER_WORDS, free_names, lower_words, small
 
-WINDOW, SAMPLE, SHARD_TOKENS, SHARD_BYTES, BLOCK_WORDS = 13, 8, 400_000, 64 << 20, 2_000_000
+WINDOW, SAMPLE, SHARD_TOKENS, SHARD_BYTES, BLOCK_WORDS = 13, 8, 400_000, 16 << 20, 2_000_000
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -200,25 +200,29 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list]:
         yield block
 
 
-SPANS, ITEMS, WORDS = "hit_spans", "hit_items", "hit_n_words"
+FOUND = ("hit_spans", "hit_items", "hit_n_words")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs (text, ...) -> its columns, hit_spans ([start, end) of words), hit_items and hit_n_words."""
-    taken = {SPANS, ITEMS, WORDS}
-    columns = [c for c in docs.columns if c not in taken]
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, names: tuple[str, ...] = FOUND) -> DataFrame:
+    """docs (text, ...) -> its columns, hit_spans ([start, end) of words), hit_items and hit_n_words, or these under
+    other names; older columns of those names give way."""
+    taken = {c.lower() for c in names}
+    columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]
+    spans, items, words = names
     item_type = dict(benchmark.dtypes)["item_id"]
     out = docs.select(*columns).withColumns(
-        {SPANS: F.array().cast("array<array<int>>"), ITEMS: F.array().cast(f"array<{item_type}>"), WORDS: F.lit(0).cast("long")}
+        {spans: F.array().cast("array<array<int>>"), items: F.array().cast(f"array<{item_type}>"), words: F.lit(0).cast("long")}
     )
     sc = docs.sparkSession.sparkContext
     passes = 0
     for block in _blocks(benchmark, block_words):
-        out, passes = _pass(out, sc.broadcast((block, window))), passes + 1
-    return out if passes else _pass(out, sc.broadcast(([], window)))  # the words are counted still
+        out, passes = _pass(out, sc.broadcast((block, window)), names), passes + 1
+    return out if passes else _pass(out, sc.broadcast(([], window)), names)  # the words are counted still
 
 
-def _pass(df: DataFrame, sent) -> DataFrame:
+def _pass(df: DataFrame, sent, names: tuple[str, ...]) -> DataFrame:
+    spans_, items_, words_ = names
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(*sent.value)
         get = phrases.ids.get
@@ -229,14 +233,14 @@ def _pass(df: DataFrame, sent) -> DataFrame:
             found = iter(search_shard([d for _, docs in held for d in docs], phrases))
             for batch, docs in held:
                 mine = [next(found) for _ in docs]
-                spans = [_merged(a + b) for a, (b, _) in zip(batch.column(SPANS).to_pylist(), mine, strict=True)]
-                items = [sorted({*a, *b} - {None}) for a, (_, b) in zip(batch.column(ITEMS).to_pylist(), mine, strict=True)]
-                new = {SPANS: spans, ITEMS: items, WORDS: [len(d) for d in docs]}
+                spans = [_merged(a + b) for a, (b, _) in zip(batch.column(spans_).to_pylist(), mine, strict=True)]
+                items = [sorted({*a, *b} - {None}) for a, (_, b) in zip(batch.column(items_).to_pylist(), mine, strict=True)]
+                new = {spans_: spans, items_: items, words_: [len(d) for d in docs]}
                 arrays = [pa.array(new[f.name], f.type) if f.name in new else batch.column(f.name) for f in batch.schema]
                 yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
             held.clear()
 
-        for batch in it:
+        for batch in small(it):
             docs = []
             for text in batch.column("text").to_pylist():
                 words = lower_words(text)
@@ -257,9 +261,10 @@ def _pass(df: DataFrame, sent) -> DataFrame:
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = find(docs.select("doc_id", "text"), benchmark)
-    n_hit = F.aggregate(SPANS, F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
-    items = F.array_sort(F.transform(ITEMS, lambda x: x.cast("string")))
-    return found.select("doc_id", F.col(WORDS).alias("n_words"), n_hit.alias("n_hit"), F.size(ITEMS).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256")).withColumn(
+    spans, items, words = FOUND
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
+    names = F.array_sort(F.transform(items, lambda x: x.cast("string")))
+    return found.select("doc_id", F.col(words).alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256")).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     )
 
@@ -281,13 +286,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.05) ->
     """docs without documents of which at least `share` of the words were hit, and without hit words in the rest;
     n_chars, if there, follows the text."""
     columns = docs.columns
-    found = find(docs, benchmark)
-    n_hit = F.aggregate(SPANS, F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
-    kept = found.where((n_hit == 0) | (n_hit < share * F.col(WORDS))).drop(ITEMS, WORDS)
+    hit, items, words = free_names(columns, *FOUND)
+    found = find(docs, benchmark, names=(hit, items, words))
+    n_hit = F.aggregate(hit, F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
+    kept = found.where((n_hit == 0) | (n_hit < share * F.col(words))).drop(items, words)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            spans = batch.column(SPANS).to_pylist()
+        for batch in small(it):
+            spans = batch.column(hit).to_pylist()
             i = batch.schema.get_field_index("text")
             if any(spans):
                 texts = [cut(t, s) for t, s in zip(batch.column(i).to_pylist(), spans, strict=True)]

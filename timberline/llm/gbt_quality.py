@@ -7,7 +7,8 @@ batch of documents walks a tree in depth vectorised steps.
 
 Defined cases: null text is empty; an empty text has all statistics 0 and gets the score the trees give that; rows
 without a label, with a null id or with a held-out id are never learned from; of several labels of one id all count;
-with no labels at all every score is the prior 0.5; repeated rows each give a row; other columns are ignored.
+with no labels at all every score is the prior 0.5; repeated rows each give a row; other columns are kept, but for one with
+the name of a column that is added.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, free_names, small, without
 
 SAMPLE = 16_000
 FEATURES = (
@@ -142,18 +143,16 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: f
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) -> the same with stats, an array in the order of FEATURES."""
-    columns = docs.columns
-    name = "stats"
+    """docs (doc_id, text, ...) -> the same with stats, an array in the order of FEATURES; a column of that name gives way."""
+    docs = without(docs, "stats")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in small(it):
             x = [statistics(t.as_py()) for t in batch.column("text")]
-            yield batch.append_column(name, pa.array(x, pa.list_(pa.float64())))
+            yield batch.append_column("stats", pa.array(x, pa.list_(pa.float64())))
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    assert name not in columns
-    return docs.mapInArrow(run, f"{fields}, {name} array<double>")
+    return docs.mapInArrow(run, f"{fields}, stats array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, sample: int = SAMPLE) -> Trees:
@@ -170,12 +169,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int,
     return train(np.array([r["stats"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["y"] for r in got], dtype=float))
 
 
+def accept(docs: DataFrame, model: Trees, threshold: float) -> DataFrame:
+    """The rows of docs whose score is the threshold or more, with all their columns."""
+    (score,) = free_names(docs.columns, "score")
+    return classify(docs, model, score).where(F.col(score) >= threshold).drop(score)
+
+
 def classify(docs: DataFrame, model: Trees, column: str = "score") -> DataFrame:
-    """docs (text, ...) -> the same columns and `column`: how likely label 1 is."""
-    assert column not in docs.columns
+    """docs (text, ...) -> the same columns and `column`: how likely label 1 is; an older column of that name gives way."""
+    docs = without(docs, column)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in small(it):
             x = np.array([statistics(t.as_py()) for t in batch.column("text")]).reshape(batch.num_rows, len(FEATURES))
             yield batch.append_column(column, pa.array(model.score(x)))
 
