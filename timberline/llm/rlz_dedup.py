@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sha_hex
+from .bitmaps import among, bitmap, spot
+from .common import materialize, sha_hex, small
 from .shingles import _BASE, in_parts, mix, powers, word_hashes
 
-WINDOW, GRAM, HOT, FILTER_BITS = 50, 16, 500, 1 << 25
+WINDOW, GRAM, HOT, BLOCKS = 50, 16, 500, 16  # BLOCKS: reference blocks for each partition
 _LAST = 2**63 - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BACK = np.ones(1, dtype=np.uint64)
@@ -97,7 +98,7 @@ def contexts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in small(it):
             k, th = (batch.column(c).to_numpy() for c in ("k", "th"))
             for at, texts in in_parts(batch.column("text").to_pylist()):
                 text, lo, hi, anchor, context = anchors(*word_hashes(texts, lower=False))
@@ -146,33 +147,10 @@ def parse_block(pieces: list[tuple[int, np.ndarray]]) -> list[list[tuple[int, in
     return out
 
 
-def _bitmap(keys: DataFrame) -> tuple[np.ndarray, bool]:
-    """FILTER_BITS bits over hashes of k, packed, and whether hash 0 is among them: of fixed size whatever the input."""
-    p = keys.select(_spot("k").alias("p"))
-    maps = p.groupBy(F.expr("bitmap_bucket_number(p)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m")).collect()
-    per = 8 * 4096
-    bits = np.zeros(FILTER_BITS + per, dtype=bool)
-    for r in maps:
-        if r["n"] > 0:
-            got = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little").astype(bool)
-            at = (r["n"] - 1) * per
-            bits[at : at + len(got)] = got[: len(bits) - at]
-    return np.packbits(bits), any(r["n"] == 0 for r in maps)
-
-
-def _spot(c: str):
-    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("long")
-
-
-def _among(batch: pa.RecordBatch, bits: np.ndarray, zero: bool) -> np.ndarray:
-    p = batch.column("p").to_numpy()
-    return np.where(p == 0, zero, bits[p - 1])
-
-
 def duplicate_spans(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> k, th, spans: arrays of (start, end) of words to go, neither sorted nor merged."""
     spark = docs.sparkSession
-    blocks = blocks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks or BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ctx = materialize(contexts(docs), "rlz-contexts")
     distinct = ctx.groupBy("anchor", "context").agg(F.min("k").alias("first"), F.count("*").alias("times"))
     distinct = materialize(distinct, "rlz-distinct")
@@ -184,20 +162,18 @@ def duplicate_spans(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     whole = judged.where("whole").select("k", "th", F.col("lo").alias("start"), (F.col("hi") + WINDOW).alias("end"))
 
     wanted = judged.where("not whole").groupBy("k", "th").agg(F.collect_list(F.struct("anchor", "lo", "hi", (F.col("n") > HOT).alias("hot"))).alias("at"))
-    bits = _bitmap(judged.where("not whole"))
-    sent = spark.sparkContext.broadcast(bits)
+    bits, packed = bitmap(judged.where("not whole"), "k")
+    sent = spark.sparkContext.broadcast(packed)  # 32 MB at most
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, zero = sent.value
-        known = np.unpackbits(packed).astype(bool)
         for batch in it:
-            yield batch.filter(pa.array(_among(batch, known, zero))).select(["k", "th", "text"])
+            yield batch.filter(pa.array(among(batch.column("p").to_numpy(), sent.value))).select(["k", "th", "text"])
 
-    texts = docs.select(*_key(), "text").withColumn("p", _spot("k")).mapInArrow(near, "k long, th long, text string").dropDuplicates(["k", "th"])
+    texts = docs.select(*_key(), "text").withColumn("p", spot("k", bits)).mapInArrow(near, "k long, th long, text string").dropDuplicates(["k", "th"])
     schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("block", pa.int32()), ("start", pa.int32()), ("words", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in small(it):
             ks, ths, ats = (batch.column(c).to_pylist() for c in ("k", "th", "at"))
             for lo, part in in_parts(batch.column("text").to_pylist()):
                 words, first = word_hashes(part, lower=False)
@@ -224,17 +200,26 @@ def duplicate_spans(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     piece_schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
     def parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
-        for batch in it:
-            for b, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "k", "th", "start", "words")), strict=True):
-                held.setdefault(b, []).append(row)
-        for rows in held.values():
+        """Rows come in order of their blocks; only one block's are held."""
+        now, rows = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
             found = parse_block([(r[0], np.frombuffer(r[3], np.uint64)) for r in rows])
             spans = [(r[0], r[1], r[2] + a, r[2] + b) for r, own in zip(rows, found, strict=True) for a, b in own]
             if spans:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*spans, strict=True), piece_schema, strict=True)], schema=piece_schema)
+            rows.clear()
 
-    factors = cut_up.where("block is not null").select("block", "k", "th", "start", "words").repartition(blocks // 4 or 1, "block").mapInArrow(parse, "k long, th long, start int, end int")
+        for batch in small(it):
+            for b, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "k", "th", "start", "words")), strict=True):
+                if b != now and rows:
+                    yield from done()
+                now = b
+                rows.append(row)
+        if rows:
+            yield from done()
+
+    factors = cut_up.where("block is not null").select("block", "k", "th", "start", "words").repartition(max(1, blocks // BLOCKS), "block").sortWithinPartitions("block").mapInArrow(parse, "k long, th long, start int, end int")
     hot = cut_up.where("block is null").select("k", "th", "start", "w1", "w2")
     earliest = hot.groupBy("w1", "w2").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("w1", "w2", "first")
     single = hot.join(earliest, ["w1", "w2"]).where("first < k").select("k", "th", "start", (F.col("start") + WINDOW).alias("end"))
@@ -257,21 +242,20 @@ def _apply(docs: DataFrame, make, schema) -> DataFrame:
     spans are shuffled."""
     columns = docs.columns
     spans = materialize(duplicate_spans(docs.select("doc_id", "text")), "rlz-spans")
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(spans))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), *_key()).withColumn("p", _spot("k"))
+    bits, packed = bitmap(spans, "k")
+    sent = docs.sparkSession.sparkContext.broadcast(packed)  # 32 MB at most
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), *_key()).withColumn("p", spot("k", bits))
 
     def side(inside: bool):
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            packed, zero = sent.value
-            known = np.unpackbits(packed).astype(bool)
             for batch in it:
-                mask = _among(batch, known, zero)
+                mask = among(batch.column("p").to_numpy(), sent.value)
                 yield batch.filter(pa.array(mask if inside else ~mask))
 
         return run
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in small(it):
             rows = pa.RecordBatch.from_struct_array(batch.column("row"))
             got = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
             yield make(rows, [merged(s) for s in got])
