@@ -303,14 +303,34 @@ def test_licenses(spark, docs, none):
     assert license_scan.scan_licenses(docs).count() == docs.count() and license_scan.scan_licenses(none).count() == 0
 
 
-def test_license_filters_lose_nothing(spark):
+def test_licenses_across_lines(spark):
+    """Wrapped lines, a word missing, and the kinds of CC BY told apart."""
+    texts = [
+        (1, "x " * 70 + "Licensed under the Apache\nLicense, Version\n2.0."), (2, "Licensed under Apache License, Version 2.0"), (3, "Licensed under CC BY 4.0."),
+        (4, "Licensed under CC BY-SA 4.0"), (5, "y " * 31 + "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this\nsoftware and associated documentation files"),
+    ]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert "apache-2.0" in got[1] and "apache-2.0" in got[2] and got[3] == {"cc-by", "cc-by-4.0"} and got[4] == {"cc-by", "cc-by-sa-4.0"} and got[5] == {"mit-permission"}
+
+
+@pytest.mark.parametrize("frequencies", [None, "reversed"])
+def test_license_filters_lose_nothing(spark, frequencies):
+    """All blocks against all templates by brute force, whatever the order of tokens."""
     r = random.Random(4)
     pool = sorted({w for t in license_scan.TEMPLATES.values() for w in t.split()})
-    texts = [(i, "\n".join(" ".join(r.sample(t.split(), r.randint(1, len(t.split()))) + r.sample(pool, 2)) for t in r.sample(list(license_scan.TEMPLATES.values()), 2))) for i in range(150)]
-    got = {x["doc_id"]: {m["name"] for m in x["matches"]} for x in license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    counts = {w: i for i, w in enumerate(reversed(pool))} if frequencies else None
+    texts = []
+    for i in range(150):
+        parts = [r.sample(t.split(), r.randint(1, len(t.split()))) + r.sample(pool, 2) for t in r.sample(list(license_scan.TEMPLATES.values()), 2)]
+        texts.append((i, "\n".join(" ".join(p + ["filler"] * r.choice([0, 40])) for p in parts)))
+    texts += [(200 + i, t) for i, t in enumerate(license_scan.TEMPLATES.values())]
+    got = {x["doc_id"]: {m["name"] for m in x["matches"]} for x in license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string"), frequencies=counts).collect()}
     for i, text in texts:
-        want = {n for n, t in license_scan.TEMPLATES.items() if any(len(set(t.split()) & set(b.split())) >= 0.9 * len(set(t.split())) - 1e-9 for b in text.split("\n"))}
-        assert got[i] == want
+        w = text.split()
+        blocks = [w[at : at + license_scan.BLOCK] for at in range(0, len(w), license_scan.STEP)]
+        hits = lambda n, t: any(len(set(t.split()) & set(b)) >= 0.8 * len(set(t.split())) - 1e-9 and f" {license_scan.TELLING.get(n, '')} ".replace("  ", " ") in f" {' '.join(b)} " for b in blocks)  # noqa: B023, E731
+        assert got[i] == {n for n, t in license_scan.TEMPLATES.items() if hits(n, t)}
+    assert all(n in got[200 + i] for i, n in enumerate(license_scan.TEMPLATES))
 
 
 def labelled(spark, kind):

@@ -1,11 +1,14 @@
 """License scans: an exact set-similarity join of text blocks against licence templates, in native functions only.
 
-A block is a line of a text. Tokens are ordered by how many texts of the corpus hold them, rarest first. A block
-contains a template when at least ceil(threshold * |template|) of the template's distinct tokens stand in it. Such
-a pair must share a token within the first |template| - o + 1 tokens of the template and the first |block| - o + 1
-of the block (o: the overlap needed), so only pairs that pass this prefix filter, the length filter (|block| >= o)
-and the positional filter (what is left after the first shared token suffices) are intersected. The filters lose
-nothing; frequencies change only how many pairs are intersected, never the result.
+Blocks are runs of BLOCK words that start at every STEP-th word of a text, across line ends, so any stretch of
+BLOCK - STEP + 1 words, longer than any template, lies in one block whole. Tokens are ordered by how many texts of the
+corpus hold them, rarest first. A block contains a template when at least ceil(threshold * |template|) of the
+template's distinct tokens stand in it (the overlap o) and, for templates that differ in a word or two, the phrase that
+tells them apart. Such a pair must share a token within the first |template| - o + 1 tokens of the template and the
+first |block| - o + 1 of the block. The first are an inverted index from token to (template, place, tokens behind it);
+each block looks up its own first tokens there. A pair found passes the length filter if |block| >= o, and the
+positional filter if the shared token and what stands behind it on either side can reach o. Only pairs that pass are
+intersected. The filters lose nothing; frequencies change only how many pairs are intersected, never the result.
 
 The templates are a fixed small list, so the inverted index travels inside the plan as a literal and no text is
 shuffled. Defined cases: null or empty text has no words, no labels and score 0; very long texts are handled whole;
@@ -34,6 +37,7 @@ TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2 0",
     "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "cc-by-4.0": "licensed under cc by 4 0",
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
     "cc-by-sa-4.0": "licensed under cc by sa 4 0",
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
@@ -42,7 +46,10 @@ TEMPLATES = {
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
 
-THRESHOLD = 0.9
+#: What a block must hold word by word, too, for templates that are near to another. Fixed values.
+TELLING = {"cc-by-4.0": "by 4", "cc-by-nc-4.0": "by nc", "cc-by-sa-4.0": "by sa"}
+
+THRESHOLD, BLOCK, STEP = 0.8, 64, 32
 
 
 def spaced(text: Column) -> Column:
@@ -64,8 +71,10 @@ def token_frequencies(docs: DataFrame, templates: dict[str, str] = TEMPLATES) ->
     return dict.fromkeys(vocabulary, 0) | {r["token"]: r["count"] for r in rows}
 
 
-def _literal(templates: dict[str, str], order: dict[str, int], threshold: float) -> Column:
-    entries = []
+def _index(templates: dict[str, str], order: dict[str, int], threshold: float) -> tuple[Column, Column, list[str]]:
+    """The templates; from each token of their prefixes, the numbers (from 1) of templates and how many of their tokens
+    stand from there on; and those tokens."""
+    entries, lists = [], {}
     for name, text in sorted(templates.items()):
         tokens = sorted(set(text.split()), key=lambda w: order[w])
         need = math.ceil(threshold * len(tokens) - 1e-9)
@@ -74,10 +83,13 @@ def _literal(templates: dict[str, str], order: dict[str, int], threshold: float)
                 F.lit(name).alias("name"),
                 F.lit(need).alias("need"),
                 F.array(*map(F.lit, tokens)).alias("tokens"),
-                F.array(*map(F.lit, tokens[: len(tokens) - need + 1])).alias("prefix"),
+                F.lit(f" {TELLING[name]} " if name in TELLING else "").alias("telling"),
             )
         )
-    return F.array(*entries)
+        for place, token in enumerate(tokens[: len(tokens) - need + 1]):
+            lists.setdefault(token, []).append((len(entries), len(tokens) - place, need))
+    found = [F.struct(F.lit(w).alias("token"), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(left).alias("left"), F.lit(need).alias("need")) for t, left, need in rows]).alias("in")) for w, rows in sorted(lists.items())]
+    return F.array(*entries), F.map_from_entries(F.array(*found)), sorted(lists)
 
 
 def scan_licenses(
@@ -87,11 +99,10 @@ def scan_licenses(
     frequencies = token_frequencies(docs, templates) if frequencies is None else frequencies
     ranked = sorted(frequencies, key=lambda w: (frequencies[w], w))
     order = {w: i for i, w in enumerate(ranked)}
-    index, vocabulary = _literal(templates, order, threshold), F.array(*map(F.lit, ranked))
-    needs = {n: math.ceil(threshold * len(set(t.split())) - 1e-9) for n, t in templates.items()}
-    rare = sorted({w for n, t in templates.items() for w in sorted(set(t.split()), key=order.get)[: len(set(t.split())) - needs[n] + 1]})
+    entries, index, rare = _index(templates, order, threshold)
+    vocabulary, first_tokens = F.array(*map(F.lit, ranked)), F.array(*map(F.lit, rare))
 
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), spaced(F.col("text")).alias("s"))
+    base = docs.select("doc_id", spaced(F.col("text")).alias("s"))
     core = F.trim("s")
     counts, firsts, lasts, labels = [], [], [], []
     for phrase, label in PHRASES.items():
@@ -103,23 +114,30 @@ def scan_licenses(
         lasts.append(F.when(here, before(F.length("s") - F.locate(p[::-1], F.reverse("s")) + 2 - len(p))))
         labels.append(F.when(here, F.lit(label)))
 
-    # Only texts that hold a token of some template's prefix can contain a template in one of their blocks.
-    possible = None
-    for w in rare:
-        c = F.contains("s", F.lit(f" {w} "))
-        possible = c if possible is None else possible | c
-    block = lambda line: F.array_intersect(vocabulary, F.split(F.trim(spaced(line)), "  "))  # noqa: E731  in global order
-    found = lambda b: F.transform(
-        F.filter(
-            index,
-            lambda t: (F.size(b) >= t["need"])
-            & F.arrays_overlap(F.slice(b, F.lit(1), F.greatest(F.size(b) - t["need"] + 1, F.lit(0))), t["prefix"])
-            & (F.size(F.array_intersect(b, t["tokens"])) >= t["need"]),
-        ),
-        lambda t: F.struct(t["name"].alias("name"), (F.size(F.array_intersect(b, t["tokens"])) / F.size(t["tokens"])).alias("containment")),
-    )
-    blocks = F.filter(F.transform(F.split("text", "\n"), block), lambda b: F.size(b) > 0)
-    matches = F.when(possible, F.flatten(F.transform(blocks, found))).otherwise(F.array().cast("array<struct<name:string,containment:double>>"))
+    def candidates(b: Column) -> Column:
+        looked_up = F.transform(F.array_intersect(b, first_tokens), lambda w: F.struct((F.array_position(b, w)).cast("int").alias("at"), F.element_at(index, w).alias("in")))
+        fit = lambda at, e: (
+            (F.size(b) >= e["need"])  # length
+            & (at <= F.size(b) - e["need"] + 1)  # the block's prefix
+            & (F.least(F.size(b) - at + 1, e["left"]) >= e["need"])  # position
+        )
+        return F.array_distinct(F.flatten(F.transform(looked_up, lambda x: F.transform(F.filter(x["in"], lambda e: fit(x["at"], e)), lambda e: e["t"]))))
+
+    def found(x: Column) -> Column:
+        pairs = F.transform(candidates(x["b"]), lambda t: F.element_at(entries, t))
+        whole = F.filter(pairs, lambda t: (F.size(F.array_intersect(x["b"], t["tokens"])) >= t["need"]) & F.contains(x["says"], t["telling"]))
+        return F.transform(whole, lambda t: F.struct(t["name"].alias("name"), (F.size(F.array_intersect(x["b"], t["tokens"])) / F.size(t["tokens"])).alias("containment")))
+
+    def matches_in(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / STEP).cast("int"))
+        # A block's tokens in the order of all, and its words as a phrase.
+        one = lambda w: F.struct(F.array_intersect(vocabulary, w).alias("b"), F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias("says"))
+        blocks = F.filter(F.transform(starts, lambda i: F.slice(words, i * STEP + 1, F.lit(BLOCK))), lambda w: F.arrays_overlap(w, first_tokens))
+        all_found = F.array_distinct(F.flatten(F.transform(F.transform(blocks, one), found)))
+        return F.when(F.arrays_overlap(words, first_tokens), all_found).otherwise(F.array().cast("array<struct<name:string,containment:double>>"))
+
+    # Bound by a lambda, the words are split once, not for every use.
+    matches = F.transform(F.array(F.split(core, "  ")), matches_in)[0]
     n_words = F.when(core == "", F.lit(0).cast("long")).otherwise(_pairs_of_spaces(core) + 1)
     own = base.select(
         "doc_id",

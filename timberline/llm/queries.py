@@ -125,21 +125,23 @@ def _op8() -> str:
     words = r"regexp_split_to_array(trim(regexp_replace({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ')"
     lower = f"translate({{}}, '{license_scan.UPPER}', '{license_scan.LOWER}')"
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in license_scan.PHRASES.items())
-    templates = ", ".join(f"('{n}', list_distinct(string_split('{t}', ' ')))" for n, t in license_scan.TEMPLATES.items())
+    telling = {n: f" {license_scan.TELLING[n]} " if n in license_scan.TELLING else "" for n in license_scan.TEMPLATES}
+    templates = ", ".join(f"('{n}', list_distinct(string_split('{t}', ' ')), '{telling[n]}')" for n, t in license_scan.TEMPLATES.items())
     return f"""
-with d as (select doc_id, {words.format(lower.format("coalesce(text, '')"))} as w0, coalesce(text, '') as text from documents),
-e as (select doc_id, text, case when w0 = [''] then cast([] as varchar[]) else w0 end as w from d),
+with e as (select doc_id, case when w0 = [''] then cast([] as varchar[]) else w0 end as w
+  from (select doc_id, {words.format(lower.format("coalesce(text, '')"))} as w0 from documents)),
 phrases(phrase, label, k) as (values {phrases}),
 places as (
   select doc_id, label, unnest(list_filter(range(len(w)), lambda i: list_aggregate(w[i + 1:i + k], 'string_agg', ' ') = phrase)) as place
   from (select doc_id, w from e where len(list_intersect(w, ['license', 'by'])) > 0), phrases),
 base as (select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, list_sort(list(distinct label)) as l from places group by doc_id),
-blocks as (select doc_id, {words.format(lower.format("unnest(string_split(text, chr(10)))"))} as w from e),
-templates(name, t) as (values {templates}),
+blocks as (
+  select doc_id, unnest(list_transform(range(0, len(w), {license_scan.STEP}), lambda i: w[i + 1:i + {license_scan.BLOCK}])) as w from e),
+templates(name, t, telling) as (values {templates}),
 found as (
   select doc_id, name, max(len(list_intersect(t, w)) / len(t)) as c
-  from (select * from blocks where len(list_intersect(w, ['license', 'licensed', 'permission', 'redistribution', 'source', 'free'])) > 0), templates
-  where len(list_intersect(t, w)) >= ceil({license_scan.THRESHOLD} * len(t) - 1e-9) group by doc_id, name),
+  from blocks, templates
+  where len(list_intersect(t, w)) >= ceil({license_scan.THRESHOLD} * len(t) - 1e-9) and contains(' ' || array_to_string(w, ' ') || ' ', telling) group by doc_id, name),
 method as (select doc_id, list(name) as l, max(c) as c from found group by doc_id)
 select e.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
   coalesce(array_to_string(base.l, ','), '') as base_labels,
