@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.operators.predicates import Predicate, Scope, TypedCompare, all_of
+from timberline.functions.values import QueryError
+from timberline.operators.predicates import Custom, DynamicCompare, Predicate, Scope, TypedCompare, all_of
 from timberline.operators.stages import Program
 from timberline.operators.templates import Templates
 
@@ -16,7 +17,8 @@ DEFAULT_LIMIT = 100
 
 @dataclass
 class Query:
-    """start, end: inclusive nanoseconds; an end of 0 is open. limit None: all rows. tenant: rows of this tenant only."""
+    """start, end: inclusive nanoseconds; an end of 0 is open. limit None: all rows. direction: backward or forward, in
+    any case. tenant: rows of this tenant only. ordered: sort even without a limit, which sorts all that matches."""
 
     predicates: list[Predicate] = field(default_factory=list)
     start: int = 0
@@ -25,6 +27,12 @@ class Query:
     direction: str = "backward"
     program: Program = field(default_factory=Program)
     tenant: str | None = None
+    ordered: bool = False
+
+    def __post_init__(self) -> None:
+        self.direction = self.direction.lower()
+        if self.direction not in ("backward", "forward"):
+            raise QueryError(f"direction {self.direction!r} is neither backward nor forward")
 
 
 def in_window(logs: DataFrame, start: int, end: int) -> DataFrame:
@@ -69,14 +77,16 @@ def matching(logs: DataFrame, query: Query, templates: Templates | None = None,
 
 
 def _reads_stage(p: Predicate) -> bool:
-    return type(p).__name__ in ("DynamicCompare", "Custom")
+    return isinstance(p, (DynamicCompare, Custom))
 
 
 def execute(logs: DataFrame, query: Query, templates: Templates | None = None, materialized: bool = True) -> DataFrame:
-    """The query's rows in order, with result_labels where its stages read labels."""
+    """The query's rows, in order if there is a limit, with result_labels where its stages read labels."""
     out = matching(logs, query, templates, materialized)
     if query.program.parses():
         out = out.withColumn("result_labels", query.program.labels(out)).drop(*[c for c in out.columns if c.startswith("__s")])
+    if query.limit is None and not query.ordered:
+        return out
     out = out.orderBy(*total_order(out, query.direction))
     return out if query.limit is None else out.limit(query.limit)
 
@@ -95,8 +105,10 @@ def execute_by_day(logs: DataFrame, query: Query, templates: Templates | None =
     return execute(logs.where(F.col("day").isin(chosen)), query, templates)
 
 
-def streams(rows: DataFrame, labels: str = "labels") -> DataFrame:
-    """Rows grouped by their labels: labels, values (arrays of [ts_ns as text, line]) in the total order of time."""
+def streams(rows: DataFrame, labels: str = "labels", direction: str = "forward") -> DataFrame:
+    """Rows of a result grouped by their labels: labels, values (arrays of [ts_ns as text, line]) in the order of the
+    direction, lines of one time in theirs. A stream is one row: meant for results with a limit."""
     key = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
-    grouped = rows.withColumn("stream", key).groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("ts_ns", "line"))).alias("v"))
+    sign = -1 if direction.lower() == "backward" else 1
+    grouped = rows.withColumn("stream", key).groupBy("stream").agg(F.sort_array(F.collect_list(F.struct((F.col("ts_ns") * sign).alias("at"), "line", "ts_ns"))).alias("v"))
     return grouped.select("stream", F.transform("v", lambda x: F.array(x["ts_ns"].cast("string"), x["line"])).alias("values"))

@@ -34,12 +34,12 @@ class PatternStage:
             self.nodes.append((False, expr[at:]))
         for a, b in zip(self.nodes, self.nodes[1:], strict=False):
             if a[0] and b[0]:
-                raise QueryError(f"pattern {expr!r}: consecutive captures <{a[1]}><{b[1]}> are not allowed")
+                raise QueryError(f"in pattern {expr!r} no text tells where <{a[1]}> ends and <{b[1]}> begins")
         self.names = [n for capture, n in self.nodes if capture and n != "_"]
         if len(set(self.names)) < len(self.names):
-            raise QueryError(f"pattern {expr!r}: duplicate capture name")
+            raise QueryError(f"in pattern {expr!r} one name stands for two values")
         if not self.names:
-            raise QueryError(f"pattern {expr!r}: at least one named capture is required")
+            raise QueryError(f"pattern {expr!r} names nothing to read")
 
     may_fail = False
 

@@ -35,47 +35,74 @@ class Capture:
     field: str
 
 
+#: Characters that a value of a kind may hold. Text behind a capture that begins with one could be read as its rest.
+VALUE_CHARS = {"int": "+-0123456789", "float": "+-.eE0123456789", "uuid": "-0123456789abcdefABCDEF", "str": ""}
+
+
+def _read(name: str, pattern: str) -> tuple[list, list[str]]:
+    """The parts of a pattern, texts and captures in turn, and what of it is no capture though it has a brace."""
+    parts: list[str | Capture] = []
+    wrong: list[str] = []
+    for text, brace in re.findall(r"([^{]+)|(\{[^}]*\}?)", pattern):
+        label, colon, kind = brace[1:-1].partition(":")
+        if text:
+            parts.append(text)
+        elif not brace.endswith("}"):
+            wrong.append(f"{brace} has no closing brace")
+        elif not (label and colon and kind):
+            wrong.append(f"{brace} is not a name, a colon and a type")
+        elif kind not in SPARK_TYPE:
+            wrong.append(f"{brace} is none of the types {', '.join(SPARK_TYPE)}")
+        else:
+            parts.append(Capture(label, kind, f"{name}_{label}"))
+    return parts, wrong
+
+
+def _faults(parts: list) -> list[str]:
+    """Why lines could not be searched for these parts, or a value's end would be in doubt."""
+    texts = [p for p in parts if isinstance(p, str)]
+    labels = [p.name for p in parts if isinstance(p, Capture)]
+    out = []
+    if max((len(t.encode()) for t in texts), default=0) < ANCHOR:
+        out.append(f"lines are searched for a text of {ANCHOR} bytes or more, and it has none")
+    if parts and not isinstance(parts[0], str):
+        out.append("the search begins with its first text, so a capture cannot come before")
+    for label in sorted({x for x in labels if labels.count(x) > 1}):
+        out.append(f"{label} stands for two values")
+    for p, behind in zip(parts, parts[1:], strict=False):
+        if isinstance(p, str):
+            continue
+        if not isinstance(behind, str):
+            out.append(f"no text tells where {p.name} ends and {behind.name} begins")
+        elif p.kind in ("int", "float") and behind[0] in VALUE_CHARS[p.kind].replace("+", "").replace("-", ""):
+            out.append(f"{behind[0]!r} may be part of {p.name} or of the text behind it")
+    return out
+
+
 class Template:
     def __init__(self, name: str, pattern: str):
-        if not name:
-            raise QueryError("template with empty name")
         self.name, self.pattern = name, pattern
-        self.parts: list[str | Capture] = []
-        for piece in re.split(r"(\{[^}]*\}?)", pattern):
-            if piece.startswith("{"):
-                if not piece.endswith("}"):
-                    raise QueryError(f"template {name!r}: unclosed '{{' in pattern")
-                m = re.fullmatch(r"\{([^:]+):(.+)\}", piece, re.S)
-                if not m:
-                    raise QueryError(f"template {name!r}: capture must be {{name:type}}, got {piece}")
-                if m[2] not in SPARK_TYPE:
-                    raise QueryError(f"template {name!r}: unknown capture type {m[2]!r}")
-                self.parts.append(Capture(m[1], m[2], f"{name}_{m[1]}"))
-            elif piece:
-                self.parts.append(piece)
-        self._check()
-
-    def _check(self) -> None:
-        parts, who = self.parts, f"template {self.name!r}"
-        if not parts:
-            raise QueryError(f"{who}: empty pattern")
-        if isinstance(parts[0], Capture):
-            raise QueryError(f"{who}: pattern must start with a literal")
-        for a, b in zip(parts, parts[1:], strict=False):
-            if isinstance(a, Capture) and isinstance(b, Capture):
-                raise QueryError(f"{who}: adjacent captures need a literal between them")
-            if isinstance(a, Capture) and (a.kind in ("int", "float") and b[0].isdigit() and b[0].isascii() or a.kind == "float" and b[0] in ".eE"):
-                raise QueryError(f"{who}: numeric capture {a.name!r} is followed by {b[0]!r}, which is ambiguous")
-        names = [c.name for c in self.captures]
-        if len(set(names)) < len(names):
-            raise QueryError(f"{who}: duplicate capture name")
-        if not any(isinstance(p, str) and len(p.encode()) >= ANCHOR for p in parts):
-            raise QueryError(f"{who}: needs a literal of at least {ANCHOR} bytes")
+        self.parts, wrong = _read(name, pattern)
+        wrong = wrong or _faults(self.parts)
+        if not name:
+            wrong.append("it has no name")
+        if wrong:
+            raise QueryError(f"template {name!r} cannot be used: {'; '.join(wrong)}")
 
     @property
     def captures(self) -> list[Capture]:
         return [p for p in self.parts if isinstance(p, Capture)]
 
+    @property
+    def as_pattern(self) -> tuple:
+        """What a `pattern` stage between two <_> must say to read the same values: (is a name, text) of each part."""
+        return tuple((isinstance(p, Capture), p.field if isinstance(p, Capture) else p) for p in self.parts)
+
+    @property
+    def ends_alike(self) -> bool:
+        """Whether each value ends where the text behind it first comes, which is where a `pattern` ends it."""
+        return not any(isinstance(p, Capture) and behind[0] in VALUE_CHARS[p.kind] for p, behind in zip(self.parts, self.parts[1:], strict=False))
+
     @property
     def shape(self) -> tuple:
         return tuple(p if isinstance(p, str) else (p.kind,) for p in self.parts)
@@ -135,14 +162,14 @@ class Templates:
         shapes: dict[tuple, str] = {}
         for t in self.templates:
             if t.shape in shapes:
-                raise QueryError(f"template {t.name!r} overlaps (identical pattern to) {shapes[t.shape]!r}")
+                raise QueryError(f"templates {shapes[t.shape]!r} and {t.name!r} would read the same values")
             shapes[t.shape] = t.name
             for c in t.captures:
                 if c.field in self.fields:
-                    raise QueryError(f"duplicate queryable field {c.field!r}")
+                    raise QueryError(f"templates {self.fields[c.field][0].name!r} and {t.name!r} both give a field {c.field}")
                 self.fields[c.field] = t, c
         if "" in self.literals or len(set(self.literals)) < len(self.literals):
-            raise QueryError("empty or duplicate literal")
+            raise QueryError("each literal must have characters and be there once")
 
     def field(self, name: str, line: Column) -> Column:
         """Array of a field's values, null where it has none."""

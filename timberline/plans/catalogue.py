@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,7 +17,8 @@ from timberline.operators.query import execute, streams
 from timberline.operators.stages import ERROR
 from timberline.operators.templates import Templates
 from timberline.plans.translate import log_query, metric_query
-from timberline.sources.logs import decode_push, log_rows, overlay
+from timberline.sources import push
+from timberline.sources.logs import decode_push, ingest, load, log_rows, matrix, overlay, stream_objects, vector
 
 TEMPLATES = Templates(
     {"latency": "took={ms:int}ms", "code": "code={n:int};", "val": "val={v:float} ", "word": "kind={w:str} ", "id": "id={u:uuid} "},
@@ -48,11 +51,37 @@ def events_as_logs(spark: SparkSession, sf_dir: str, line=None) -> DataFrame:
     return log_rows(rows)
 
 
+_STORED: dict[tuple[str, str, int | None], str] = {}
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share; in local mode, where none is set, one of this machine's."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="timberline-")
+
+
+def stored_logs(spark: SparkSession, sf_dir: str, line: Callable | None = None) -> DataFrame:
+    """events_as_logs as an ingested table, written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, None if line is None else id(line))
+    if key not in _STORED:
+        path = f"{_shared_folder(spark)}/timberline-logs-{uuid.uuid4().hex}"
+        ingest(events_as_logs(spark, sf_dir, None if line is None else line()), path, TEMPLATES)
+        _STORED[key] = path
+    return load(spark, _STORED[key])
+
+
 def _logs(text: str, line: Callable | None = None, **options) -> Callable[[SparkSession, str], DataFrame]:
+    """A registered log query: over the stored table if it compares a field, over rows made from events if not."""
+    typed = any(name in text for name in TEMPLATES.fields)
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        logs = events_as_logs(spark, sf_dir, None if line is None else line())
+        logs = stored_logs(spark, sf_dir, line) if typed else events_as_logs(spark, sf_dir, None if line is None else line())
         q = log_query(text, TEMPLATES, **({"limit": None} | options))
-        return execute(TEMPLATES.materialize(logs) if "==" not in text else logs, q, TEMPLATES).select("ts_ns", F.col("labels")["app"].alias("app"), "line")
+        return execute(logs, q, TEMPLATES).select("ts_ns", F.col("labels")["app"].alias("app"), "line")
 
     return run
 
@@ -90,8 +119,8 @@ for _name, _text, _where, _tail in (
     ("label_not_regex", '{app!~"c.*"}', "not regexp_full_match(app, 'c.*')", ""),
     ("label_numeric_ge", "{} | k >= 50", "cast(k as double) >= 50", ""),
     ("label_number_as_text", "{} | k = 50", "k = '50'", ""),
-    ("typed_gt", "{} | latency_ms > 400", f"{_MS} > 400", ""),
-    ("typed_ge", "{} | latency_ms >= 400", f"{_MS} >= 400", ""),
+    ("typed_gt", "{} | latency_ms > 150", f"{_MS} > 150", ""),
+    ("typed_ge", "{} | latency_ms >= 150", f"{_MS} >= 150", ""),
     ("typed_lt", "{} | latency_ms < 5", f"{_MS} < 5", ""),
     ("typed_le", "{} | latency_ms <= 5", f"{_MS} <= 5", ""),
     ("typed_eq", "{} | latency_ms = 100", f"{_MS} = 100", ""),
@@ -104,7 +133,7 @@ for _name, _text, _where, _tail in (
     ("dynamic_numeric", '{} | logfmt | user >= 140', "user_id >= 140", ""),
     ("dynamic_string", '{} | logfmt | user != "7"', "user_id <> 7", ""),
     ("dynamic_regex", '{} | logfmt | user =~ "1.?"', "regexp_full_match(cast(user_id as varchar), '1.?')", ""),
-    ("extracted_suffix", '{} | regexp "took=(?P<k>[0-9]+)" | k_extracted > 400', "floor(value) > 400", ""),
+    ("extracted_suffix", '{} | regexp "took=(?P<k>[0-9]+)" | k_extracted > 100', "floor(value) > 100", ""),
     ("first_value_wins", '{} | regexp "user=(?P<x>[0-9]+)" | regexp "took=(?P<x>[0-9]+)" | x < 10', "user_id < 10", ""),
 ):
     _add(_name, _logs(_text, **({"limit": 100} if _tail else {})), _sql_logs(_where, tail=_tail))
@@ -138,7 +167,7 @@ _add(
 )
 _json = lambda: F.when(F.col("user_id") % 3 == 0, F.concat(F.lit('{"u":'), _USER(), F.lit(',"in":{"v":'), _VALUE(), F.lit("},"))).otherwise(F.concat(F.lit('{"u":'), _USER(), F.lit(',"in":{"v":'), _VALUE(), F.lit("}}")))
 _JSON = "case when user_id % 3 = 0 then concat('{\"u\":', user_id, ',\"in\":{\"v\":', cast(floor(value) as bigint), '},') else concat('{\"u\":', user_id, ',\"in\":{\"v\":', cast(floor(value) as bigint), '}}') end"
-_add("stage_json", _logs("{} | json | in_v > 400", _json), _sql_logs("floor(value) > 400", _JSON))
+_add("stage_json", _logs("{} | json | in_v > 100", _json), _sql_logs("floor(value) > 100", _JSON))
 _add("json_error", _logs('{} | json | __error__ != ""', _json), _sql_logs("user_id % 3 = 0", _JSON))
 _add("drop_error", _logs('{} | json | drop __error__ | __error__ = ""', _json), _sql_logs("true", _JSON))
 
@@ -154,7 +183,7 @@ _add("result_labels", _result_labels, "select epoch_us(ts) * 1000 as ts_ns, cast
 
 def _forced_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = log_query("{} | latency_ms > 250", TEMPLATES, limit=None)
-    return execute(TEMPLATES.materialize(events_as_logs(spark, sf_dir)), q, TEMPLATES, materialized=False).select("ts_ns", "line")
+    return execute(stored_logs(spark, sf_dir), q, TEMPLATES, materialized=False).select("ts_ns", "line")
 
 
 _add("forced_scan", _forced_scan, f"select epoch_us(ts) * 1000 as ts_ns, {_LINE} as line from events where floor(value) > 250")
@@ -163,29 +192,41 @@ _add("template_stats", lambda spark, d: TEMPLATES.stats(events_as_logs(spark, d)
 # Metric queries
 
 
-def _metric(text: str, step: int = DAY, days: int = 29, at: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
+def _span(spark: SparkSession, sf_dir: str, unit: int = DAY) -> tuple[int, int]:
+    """Whole units of time that hold all events: the first and the last time a metric is taken at."""
+    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    lo, hi = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min(ns), F.max(ns)).first()
+    return (lo or 0) // unit * unit, -(-(hi or 0) // unit) * unit
+
+
+_LO, _HI = (f"(select {how} from events)" for how in (f"min(epoch_us(ts) * 1000) // {DAY} * {DAY}", f"(max(epoch_us(ts) * 1000) + {DAY} - 1) // {DAY} * {DAY}"))
+
+
+def _metric(text: str, step: int = DAY, at_end: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    """A registered metric query over all events; at_end: at the last time only, over a range {} that holds them all."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        q = metric_query(text, TEMPLATES, start=T0, end=T0 + days * DAY, step=step)
-        out = execute_metric(events_as_logs(spark, sf_dir), q if at is None else instant(q, at), TEMPLATES)
+        lo, hi = _span(spark, sf_dir)
+        q = metric_query(text.replace("[all]", f"[{(hi - lo) // HOUR + 1}h]"), TEMPLATES, start=lo, end=hi, step=step)
+        out = execute_metric(stored_logs(spark, sf_dir), instant(q, hi) if at_end else q, TEMPLATES)
         return out.select(F.col("labels")["app"].alias("app"), F.col("labels")["k"].alias("k"), "ts_ns", F.round("value", 6).alias("value"))
 
     return run
 
 
-def _sql_metric(value: str, hours: int, step: int = DAY, days: int = 29, where: str = "true", outer: str | None = None, keep: tuple = ("app", "k"), at: int | None = None) -> str:
-    grid = f"select unnest(range({T0}, {T0 + days * DAY} + 1, {step})) as t" if at is None else f"select {at} as t"
+def _sql_metric(value: str, hours: float, step: int = DAY, where: str = "true", outer: str | None = None, keep: tuple = ("app", "k"), at_end: bool = False) -> str:
+    grid = f"select {_HI} as t" if at_end else f"select unnest(range({_LO}, {_HI} + 1, {step})) as t"
+    span = f"{_HI} - {_LO} + {HOUR}" if at_end else f"{round(hours * HOUR)}"
     kept = ", ".join(c if c in keep else f"cast(null as varchar) as {c}" for c in ("app", "k"))
     streams_ = f"""with logs as (select epoch_us(ts) * 1000 as ts_ns, event_type as app, json_extract_string(props, '$.k') as k, floor(value) as x, user_id from events),
-grid as ({grid}), s as (select app, k, t as ts_ns, {value} as v from logs join grid on logs.ts_ns > t - {hours * HOUR} and logs.ts_ns <= t where {where} group by app, k, t)"""
+grid as ({grid}), s as (select app, k, t as ts_ns, {value} as v from logs join grid on logs.ts_ns > t - ({span}) and logs.ts_ns <= t where {where} group by app, k, t)"""
     if outer is None:
         return f"{streams_} select app, k, cast(ts_ns as bigint) as ts_ns, round(cast(v as double), 6) as value from s"
     groups = ", ".join([*keep, "ts_ns"])
     return f"{streams_} select {kept}, cast(ts_ns as bigint) as ts_ns, round(cast({outer}(v) as double), 6) as value from s group by {groups}"
 
 
-_R = 30 * 3600
 for _name, _text, _args in (
-    ("count_over_time", "count_over_time({}[6h])", dict(value="count(*)", hours=6)),
     ("rate", 'rate({app="error"}[48h])', dict(value="count(*) / (48 * 3600.0)", hours=48, where="app = 'error'")),
     ("rate_unwrap", "rate({} | unwrap latency_ms [24h])", dict(value="sum(x) / (24 * 3600.0)", hours=24)),
     ("sum_over_time", "sum_over_time({} | unwrap latency_ms [48h])", dict(value="sum(x)", hours=48)),
@@ -201,8 +242,32 @@ for _name, _text, _args in (
     ("sum_all", "sum(count_over_time({}[24h]))", dict(value="count(*)", hours=24, outer="sum", keep=())),
 ):
     _add(_name, _metric(_text), _sql_metric(**_args))
-_add("metric_fine_steps", _metric("sum by (app) (count_over_time({}[90m]))", HOUR, 3), _sql_metric("count(*)", 0, HOUR, 3, outer="sum", keep=("app",)).replace("t - 0 ", f"t - {90 * 60 * 10**9} "))
-_add("instant_metric", _metric("sum by (app) (count_over_time({}[240h]))", at=T0 + 20 * DAY), _sql_metric("count(*)", 240, outer="sum", keep=("app",), at=T0 + 20 * DAY))
+_add("count_over_time", _metric("count_over_time({}[6h])", 6 * HOUR), _sql_metric("count(*)", 6, 6 * HOUR))
+_add("metric_fine_steps", _metric("sum by (app) (count_over_time({}[90m]))", HOUR), _sql_metric("count(*)", 1.5, HOUR, outer="sum", keep=("app",)))
+_add("instant_metric", _metric("sum by (app) (count_over_time({}[all]))", at_end=True), _sql_metric("count(*)", 0, outer="sum", keep=("app",), at_end=True))
+
+
+def _response(shape: Callable, at_end: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lo, hi = _span(spark, sf_dir)
+        q = metric_query(f"sum by (app) (sum_over_time({{}} | unwrap latency_ms [{(hi - lo) // HOUR + 1}h]))" if at_end else "sum by (app) (sum_over_time({} | unwrap latency_ms [24h]))", TEMPLATES, start=lo, end=hi, step=DAY)
+        return shape(execute_metric(stored_logs(spark, sf_dir), instant(q, hi) if at_end else q, TEMPLATES))
+
+    return run
+
+
+_POINT = "concat('[', t // 1000000000, ',\"', cast(v as bigint), '\"]')"
+_SUMS = "with g as ({grid}), s as (select event_type as app, t, sum(floor(value)) as v from events join g on epoch_us(ts) * 1000 > t - {span} and epoch_us(ts) * 1000 <= t group by event_type, t) "
+_add("response_matrix", _response(matrix, False), _SUMS.format(grid=f"select unnest(range({_LO}, {_HI} + 1, {DAY})) as t", span=DAY) + f"select concat('{{\"metric\":{{\"app\":\"', app, '\"}},\"values\":[', string_agg({_POINT}, ',' order by t), ']}}') as json from s group by app")
+_add("response_vector", _response(vector, True), _SUMS.format(grid=f"select {_HI} as t", span=f"({_HI} - {_LO} + {HOUR})") + f"select concat('{{\"metric\":{{\"app\":\"', app, '\"}},\"value\":', {_POINT}, '}}') as json from s")
+
+
+def _response_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = execute(events_as_logs(spark, sf_dir), log_query("{}", limit=200)).withColumn("labels", F.map_filter("labels", lambda k, _: k == "app"))
+    return stream_objects(streams(logs, direction="backward"))
+
+
+_add("response_streams", _response_streams, f"with r as (select event_type as app, epoch_us(ts) * 1000 as t, {_LINE} as line from events order by t desc, line limit 200) select concat('{{\"stream\":{{\"app\":\"', app, '\"}},\"values\":[', string_agg(concat('[\"', t, '\",\"', line, '\"]'), ',' order by t desc, line), ']}}') as json from r group by app")
 
 # Discovery
 _add("labels", lambda spark, d: discovery.labels(events_as_logs(spark, d), KEYS), "select unnest(['app', 'k']) as label")
@@ -228,6 +293,17 @@ def _push(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_push(e.select(body.alias("body"))).select("ts_ns", "line", "level", F.col("labels")["app"].alias("app"))
 
 
+def _bad_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies with a bad time, a missing line, a number for a line, or text behind the object are refused whole."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kinds = F.array(*map(F.lit, ('["1","a"]]}]}', '["1","a"],["x","b"]]}]}', '["1","a"],["2"]]}]}', '["1",7]]}]}', '["1","a"]]}]} more')))
+    body = F.concat(F.lit('{"other":{"streams":7},"STREAMS":[{"stream":{"Streams":"s"},"values":['), F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")))
+    pushes = push.read_pushes(e.select("event_id", body.alias("body")))
+    return pushes.select("event_id", F.col("push.error").isNotNull().alias("refused"), F.size("push.entries").cast("long").alias("n"), F.get(F.col("push.entries")["labels"], F.lit(0))["Streams"].alias("label"))
+
+
+_add("push_bad_body", _bad_bodies, "select event_id, event_id % 5 <> 0 as refused, cast(event_id % 5 = 0 as bigint) as n, case when event_id % 5 = 0 then 's' end as label from events")
+
 _add("push_decode", _push, "select epoch_us(ts) * 1000 as ts_ns, concat('user=', user_id) as line, cast(2 as tinyint) as level, concat('x', user_id) as app from events")
 
 

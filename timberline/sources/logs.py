@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from timberline.functions.text_udfs import extra_labels
 from timberline.functions.values import level_of
 from timberline.operators.templates import Templates
+from timberline.sources import push
 
-#: A push: streams of entries [nanoseconds as text, line, metadata].
-PUSH = "streams array<struct<stream:map<string,string>,values:array<string>>>"
-MOST_ENTRIES, MOST_BYTES, FRAME = 100_000, 4_064, 27
+MOST_BYTES, FRAME, ROWS_PER_FILE = 4_064, 27, 5_000_000
+SCHEMA = "_schema.json"  # beside a table: its columns, so that reading it opens no footers
 
 
 def overlay(stream: Column, metadata: Column) -> Column:
@@ -24,16 +26,8 @@ def overlay(stream: Column, metadata: Column) -> Column:
 
 
 def decode_push(bodies: DataFrame, column: str = "body") -> DataFrame:
-    """Push bodies (JSON) -> ts_ns, level, service, line, extra, labels; a body with more than MOST_ENTRIES entries, or
-    one that does not read, is refused as a whole."""
-    body = F.from_json(F.regexp_replace(F.col(column), r'(?i)"streams"(\s*:)', '"streams"$1'), PUSH)
-    count = F.aggregate(F.coalesce("p.streams", F.array().cast("array<struct<stream:map<string,string>,values:array<string>>>")), F.lit(0), lambda n, s: n + F.greatest(F.size(s["values"]), F.lit(0)))
-    streams = bodies.select(body.alias("p")).where(F.col("p.streams").isNotNull()).where(count <= MOST_ENTRIES).select(F.explode("p.streams").alias("s"))
-    entries = streams.select(F.col("s.stream").alias("stream"), F.explode("s.values").alias("v"))
-    parts = F.from_json("v", "array<string>")
-    rows = entries.select("stream", F.get(parts, F.lit(0)).try_cast("bigint").alias("ts_ns"), F.get(parts, F.lit(1)).alias("line"), F.from_json(F.get(parts, F.lit(2)), "map<string,string>").alias("meta"))
-    labels = overlay(F.col("stream"), F.col("meta"))
-    return log_rows(rows.where("ts_ns is not null and line is not null").withColumn("labels", labels))
+    """Push bodies (JSON) -> ts_ns, level, service, line, extra, labels of those that are not refused."""
+    return log_rows(push.entries(push.read_pushes(bodies, column)))
 
 
 def log_rows(rows: DataFrame) -> DataFrame:
@@ -59,23 +53,60 @@ def with_day(rows: DataFrame) -> DataFrame:
     return rows.withColumn("day", F.to_date(F.timestamp_micros(F.expr("ts_ns div 1000"))))
 
 
-def ingest(rows: DataFrame, path: str, templates: Templates | None = None, mode: str = "append") -> None:
-    """Adds rows to the table at path: typed fields materialised, partitioned by day, sorted by time within files."""
-    stored = with_day((templates or Templates()).materialize(log_rows(rows)))
-    stored.repartition("day").sortWithinPartitions("ts_ns").write.mode(mode).partitionBy("day").option("compression", "zstd").parquet(path)
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _known_schema(spark: SparkSession, path: str) -> StructType | None:
+    fs, at = _file(spark, f"{path}/{SCHEMA}")
+    if not fs.exists(at):
+        return None
+    opened = fs.open(at)
+    try:
+        return StructType.fromJson(json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8")))
+    finally:
+        opened.close()
+
+
+def _note_schema(spark: SparkSession, path: str, schema: StructType) -> None:
+    """Adds columns to the table's; a column that is there keeps its place, with the newest metadata."""
+    old, names = _known_schema(spark, path), {f.name for f in schema}
+    merged = StructType([*(next(f for f in schema if f.name == o.name) if o.name in names else o for o in (old or [])), *(f for f in schema if old is None or f.name not in old.names)])
+    fs, at = _file(spark, f"{path}/{SCHEMA}")
+    out = fs.create(at, True)
+    out.write(bytearray(json.dumps(merged.jsonValue()).encode()))
+    out.close()
+
+
+def store(rows: DataFrame, path: str, templates: Templates | None, mode: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Writes rows partitioned by day, in ranges of (day, time): a day is as many tasks and files as its rows need, and
+    each file's times lie close together. Fields are read after the shuffle, once."""
+    ranged = with_day(log_rows(rows)).repartitionByRange("day", "ts_ns").sortWithinPartitions("day", "ts_ns")
+    stored = (templates or Templates()).materialize(ranged)
+    writer = stored.write.mode(mode).partitionBy("day").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file)
+    writer.parquet(path)
+    _note_schema(rows.sparkSession, path, stored.schema)
+
+
+def ingest(rows: DataFrame, path: str, templates: Templates | None = None, mode: str = "append") -> DataFrame:
+    """Adds rows to the table at path, typed fields materialised. Rows too large for a record are not stored but given
+    back."""
+    fit, large = sized(log_rows(rows))
+    store(fit, path, templates, mode)
+    return large
 
 
 def load(spark: SparkSession, path: str, templates: Templates | None = None) -> DataFrame:
-    """The table at path. Columns of fields keep the pattern they were read with, in their metadata."""
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    """The table at path. Columns of fields keep the pattern they were read with, in their metadata. A table without
+    its schema beside it is read by its footers."""
+    schema = _known_schema(spark, path)
+    return spark.read.schema(schema).parquet(path) if schema else spark.read.option("mergeSchema", "true").parquet(path)
 
 
-def compact(spark: SparkSession, path: str, to: str, templates: Templates | None = None, files_per_day: int = 1) -> None:
-    """Writes the table again in few files of each day, in order of time, with fields as today's patterns read them."""
-    rows = log_rows(spark.read.parquet(path))
-    stored = with_day((templates or Templates()).materialize(rows))
-    salt = F.pmod(F.xxhash64("ts_ns"), F.lit(files_per_day))
-    stored.repartition("day", salt).sortWithinPartitions("ts_ns").write.mode("overwrite").partitionBy("day").option("compression", "zstd").parquet(to)
+def compact(spark: SparkSession, path: str, to: str, templates: Templates | None = None, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Writes the table again in files of many rows, in order of time, with fields as today's patterns read them."""
+    store(log_rows(load(spark, path)), to, templates, "overwrite", rows_per_file)
 
 
 def expire(spark: SparkSession, path: str, before: dt.date) -> list[str]:
@@ -98,8 +129,44 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return log_rows(rows.withColumn("level", F.coalesce(level_of(F.col("level")), F.lit(1).cast("tinyint"))))
 
 
-def responses(rows: DataFrame) -> DataFrame:
-    """Metric results (labels, ts_ns, value) as JSON objects of a matrix: metric and values [seconds, text]."""
-    point = F.struct("ts_ns", F.col("value").cast("string").alias("value"))
-    one = rows.groupBy("series").agg(F.sort_array(F.collect_list(point)).alias("p"))
-    return one.select(F.concat(F.lit('{"metric":'), "series", F.lit(',"values":'), F.to_json(F.transform("p", lambda x: F.array((x["ts_ns"] / 1e9).cast("string"), x["value"]))), F.lit("}")).alias("json"))
+def _seconds(ns: Column) -> Column:
+    """Nanoseconds as a JSON number of seconds."""
+    part = F.pmod(ns, F.lit(10**9))
+    whole = ((ns - part) / F.lit(10**9)).cast("decimal(20,0)")
+    return F.concat(whole.cast("string"), F.when(part != 0, F.concat(F.lit("."), F.regexp_replace(F.lpad(part.cast("string"), 9, "0"), "0+$", ""))).otherwise(""))
+
+
+def plain_number(value: Column) -> Column:
+    """A double as text without an exponent, in the fewest digits that give it back."""
+    text = value.cast("string")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    bare = F.regexp_replace(text, "^-", "")
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"^[0-9.]+", 0), r"\.", ""), "^$", "0")
+    point = F.length(F.regexp_extract(bare, r"^([0-9]+)", 1)) + F.coalesce(F.regexp_extract(bare, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+    padded = F.concat(zeros(1 - point), digits, zeros(point - F.length(digits)))
+    at = F.greatest(point, F.lit(1))
+    whole, rest = F.substring(padded, F.lit(1), at), F.regexp_replace(F.substring(padded, at + 1, F.length(padded)), "0+$", "")
+    number = F.concat(sign, F.regexp_replace(whole, "^0+(?=[0-9])", ""), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
+    return F.when(F.isnan(value), "NaN").when(value == float("inf"), "+Inf").when(value == float("-inf"), "-Inf").otherwise(number)
+
+
+def _point(ns: Column, value: Column) -> Column:
+    return F.concat(F.lit("["), _seconds(ns), F.lit(',"'), plain_number(value), F.lit('"]'))
+
+
+def matrix(rows: DataFrame) -> DataFrame:
+    """Metric results (series, ts_ns, value) -> json, an object a series: metric, and values [seconds, number as text]."""
+    point = F.struct("ts_ns", _point(F.col("ts_ns"), F.col("value")).alias("p"))
+    one = rows.groupBy("series").agg(F.sort_array(F.collect_list(point)).alias("points"))
+    return one.select(F.concat(F.lit('{"metric":'), "series", F.lit(',"values":['), F.array_join(F.col("points")["p"], ","), F.lit("]}")).alias("json"))
+
+
+def vector(rows: DataFrame) -> DataFrame:
+    """Metric results of one time -> json, an object a series: metric, and value [seconds, number as text]."""
+    return rows.select(F.concat(F.lit('{"metric":'), "series", F.lit(',"value":'), _point(F.col("ts_ns"), F.col("value")), F.lit("}")).alias("json"))
+
+
+def stream_objects(grouped: DataFrame) -> DataFrame:
+    """What `streams` of a log query gives -> json, an object a stream: its labels, and values [nanoseconds as text, line]."""
+    return grouped.select(F.concat(F.lit('{"stream":'), "stream", F.lit(',"values":'), F.to_json("values"), F.lit("}")).alias("json"))

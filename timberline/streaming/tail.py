@@ -13,18 +13,28 @@ from timberline.operators.templates import Templates
 from timberline.plans.ast import LogExpr
 from timberline.plans.logql import parse
 from timberline.plans.translate import translate
-from timberline.sources.logs import decode_push, log_rows, sized, with_day
+from timberline.sources import push
+from timberline.sources.logs import log_rows, sized, with_day
 
 
 def ingest_stream(bodies: DataFrame, path: str, rejected: str, checkpoint: str, templates: Templates | None = None, **trigger):
-    """A stream of push bodies into the table at path; entries too large go to `rejected`. Returns the running query."""
+    """A stream of push bodies into the table at path; entries too large and bodies that were refused go to `rejected`. A
+    batch is decoded once and written under its own number, so one that is tried again replaces what it wrote before.
+    Returns the running query."""
     templates = templates or Templates()
 
-    def write(batch: DataFrame, _: int) -> None:
-        rows = decode_push(batch).withColumn("ingested_at", F.lit(time.time_ns()))
-        fit, large = sized(rows)
-        with_day(templates.materialize(log_rows(fit))).sortWithinPartitions("ts_ns").write.mode("append").partitionBy("day").parquet(path)
-        large.write.mode("append").parquet(rejected)
+    def write(batch: DataFrame, number: int) -> None:
+        pushes = push.read_pushes(batch).persist()
+        try:
+            rows = log_rows(push.entries(pushes)).withColumn("ingested_at", F.lit(time.time_ns()))
+            fit, large = sized(rows)
+            stored = with_day(templates.materialize(log_rows(fit))).withColumn("batch", F.lit(number).cast("long")).sortWithinPartitions("ts_ns")
+            replace = lambda w: w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            replace(stored.write).partitionBy("batch", "day").parquet(path)
+            turned_away = large.select("ts_ns", "line", F.lit("too large").alias("error")).unionByName(push.refused(pushes).select(F.lit(None).cast("long").alias("ts_ns"), F.col("body").alias("line"), "error"))
+            replace(turned_away.withColumn("batch", F.lit(number).cast("long")).write).partitionBy("batch").parquet(rejected)
+        finally:
+            pushes.unpersist()
 
     return bodies.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
