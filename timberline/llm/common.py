@@ -38,11 +38,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); in local mode, as in
+    tests, a temporary one if none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         own = spark.sparkContext.getCheckpointDir()
         if own is None:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="timberline-"))
             own = spark.sparkContext.getCheckpointDir()
         path = own
