@@ -50,7 +50,7 @@ def _byte_chars() -> list[str]:
 class WordBPE:
     """A BPE with word ends, read from a tokenizers JSON file."""
 
-    def __init__(self, path: str, memo: int = 200_000):
+    def __init__(self, path: str, memo: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.memo_size = spec["model"], memo
@@ -120,7 +120,7 @@ class WordBPE:
                 limit, left = left, self.halves[left][1]
             else:  # of equal ranks the left one came first
                 limit, right = right + 1, self.halves[right][0]
-        if len(self.fits) >= 2_000_000:
+        if len(self.fits) >= 250_000:
             self.fits.clear()
         self.fits[a, b] = ok
         return ok

@@ -20,11 +20,17 @@ _LOWER_WORDS = bytes(
 )
 #: The same classes as a Java/RE2 regular expression, for text already lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ARROW_ROWS, ARROW_BYTES = 2_000, 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ensure_workers(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver did."""
+    """Lets Python workers import this package from where the driver did, and keeps what they get at once small: whole
+    texts may be long, and a batch is held on both sides."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     env = spark.sparkContext.environment
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -52,6 +52,7 @@ NUM, DEN = 75, 100
 BAND, HOT, BITS = 2, 32, 1024
 CHIEFS = 16  # texts that each member of a hot lane's group may pair with
 FLUSH = 1 << 19  # lanes that a map task holds before it sends them
+SLICE = 200_000  # entries of a bucket that are sorted at once
 FEW, GROUP = 64, 1_024  # classes of a group that come whole, and that are compared at once with as many others, by their sketches
 BLOCK, BLOCK_BYTES = 512, 1 << 21  # classes, and bytes of their compressed texts, that are compared at once on their shingles
 SAMPLE, LONGEST = 4_000, 8_192  # texts to learn frequent shingles from, and shingles of each (the smallest hashes)
@@ -294,9 +295,15 @@ def meetings(docs: DataFrame, buckets: int, frequent: np.ndarray | None = None)
                 width = np.uint16 if n <= 1 << 16 else np.uint32
                 short = np.frombuffer(raw, width, m, at)
                 flag = np.frombuffer(raw, np.uint8, n, at + m * width().itemsize)
-                held.setdefault(b, []).append((low, ids[short], flag[short]))
-        for b, parts in held.items():
-            yield from _meet_bucket(b, *(np.concatenate([p[i] for p in parts]) for i in range(3)))
+                held.setdefault(b, []).append((low, short, ids, flag))  # as they came, nothing is copied
+        while held:
+            b, parts = held.popitem()
+            slices = 1 + sum(len(p[0]) for p in parts) // SLICE
+            for s in range(slices):  # a lane's entries all have the same remainder
+                some = [(p, np.flatnonzero(p[0] % np.uint32(slices) == s)) for p in parts]
+                low = np.concatenate([p[0][at] for p, at in some])
+                who, flag = (np.concatenate([p[i][p[1][at]] for p, at in some]) for i in (2, 3))
+                yield from _meet_bucket(b, low, who, flag)
 
     def _meet_bucket(bucket: int, low: np.ndarray, who: np.ndarray, flag: np.ndarray) -> Iterator[pa.RecordBatch]:
         marked = np.unique(low[flag == 1])
