@@ -21,6 +21,8 @@ _LOWER_WORDS = bytes(
 #: The same classes as a Java/RE2 regular expression, for text already lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ARROW_ROWS, ARROW_BYTES = 2_000, 16 << 20
+#: Of the C library: large arrays go back to the system when they are freed, as workers live on from stage to stage.
+ALLOCATION = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,6 +34,8 @@ def ensure_workers(spark: SparkSession) -> None:
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
     env = spark.sparkContext.environment
+    for key, value in ALLOCATION.items():
+        env.setdefault(key, value)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
