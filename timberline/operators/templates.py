@@ -179,8 +179,11 @@ class Templates:
 
     def materialize(self, logs: DataFrame) -> DataFrame:
         """logs with f_<field>, its __min and __max, lbl_<key> and lit_<i>; each field's pattern is in its metadata."""
-        for name, (t, _) in self.fields.items():
-            logs = logs.withColumn(f"f_{name}", self.field(name, F.col("line")))
+        # The occurrences of a template once, in a projection of their own, however many fields it has.
+        found = {t.name: f"__o_{i}" for i, t in enumerate(self.templates) if t.captures}
+        logs = logs.withColumns({found[t.name]: t.occurrences(F.col("line")) for t in self.templates if t.captures})
+        for name, (t, c) in self.fields.items():
+            logs = logs.withColumn(f"f_{name}", F.when(F.size(found[t.name]) > 0, F.col(found[t.name])[c.field]))
             for end, f in (("min", F.array_min), ("max", F.array_max)):
                 logs = logs.withColumn(f"f_{name}__{end}", f(f"f_{name}")).withMetadata(f"f_{name}__{end}", {"pattern": t.pattern})
             logs = logs.withMetadata(f"f_{name}", {"pattern": t.pattern})
@@ -188,7 +191,7 @@ class Templates:
             logs = logs.withColumn(f"lit_{i}", F.contains("line", F.lit(literal))).withMetadata(f"lit_{i}", {"pattern": literal})
         for key in self.label_keys:
             logs = logs.withColumn(f"lbl_{key}", F.col("labels")[key])
-        return logs
+        return logs.drop(*found.values())
 
     def current(self, logs: DataFrame, name: str) -> bool:
         """Whether logs holds this field as read by today's pattern; otherwise it is read from the line again."""

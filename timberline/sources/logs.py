@@ -81,8 +81,9 @@ def _note_schema(spark: SparkSession, path: str, schema: StructType) -> None:
 
 def store(rows: DataFrame, path: str, templates: Templates | None, mode: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Writes rows partitioned by day, in ranges of (day, time): a day is as many tasks and files as its rows need, and
-    each file's times lie close together. Fields are read after the shuffle, once."""
-    ranged = with_day(log_rows(rows)).repartitionByRange("day", "ts_ns").sortWithinPartitions("day", "ts_ns")
+    each file's times lie close together. Fields are read after the shuffle, once, by spark.sql.shuffle.partitions tasks."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = with_day(log_rows(rows)).repartitionByRange(parts, "day", "ts_ns").sortWithinPartitions("day", "ts_ns")
     stored = (templates or Templates()).materialize(ranged)
     writer = stored.write.mode(mode).partitionBy("day").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file)
     writer.parquet(path)
