@@ -28,15 +28,19 @@ def forest(u: list[int], v: list[int]) -> dict[int, int]:
     return {x: top(x) for x in list(up)}
 
 
+def stars(u: list[int], v: list[int]) -> pa.RecordBatch:
+    """Edges (u, v) with the same components as the given ones, at most one for each node."""
+    pairs = np.array([(x, m) for x, m in forest(u, v).items() if x != m], dtype=np.int64).reshape(-1, 2)
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with the same components, as few stars: those of each batch of rows on its own."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            stars = forest(batch.column("u").to_pylist(), batch.column("v").to_pylist())
-            pairs = np.array([(x, m) for x, m in stars.items() if x != m], dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+            yield stars(batch.column("u").to_pylist(), batch.column("v").to_pylist())
 
     return edges.select("u", "v").mapInArrow(run, "u long, v long")
 
@@ -45,10 +49,12 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, contract: bool = True) -> DataFrame:
     """edges (u, v) of long, any direction, any repeats -> (node, component): the smallest node of each node that has
-    an edge. Each round's edges are written to the shared folder."""
-    edges = materialize(contracted(edges.where("u != v")).distinct(), "cc")
+    an edge. Each round's edges are written to the shared folder. contract: False for edges that come as stars from a
+    Python stage already; one more behind it would keep twice as many workers."""
+    edges = edges.where("u != v")
+    edges = materialize((contracted(edges) if contract else edges).distinct(), "cc")
     mark = _mark(edges)
     for _ in range(most_rounds):
         both = edges.union(edges.select("v", "u"))

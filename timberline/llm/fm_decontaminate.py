@@ -206,6 +206,12 @@ FOUND = ("hit_spans", "hit_items", "hit_n_words")
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, names: tuple[str, ...] = FOUND) -> DataFrame:
     """docs (text, ...) -> its columns, hit_spans ([start, end) of words), hit_items and hit_n_words, or these under
     other names; older columns of those names give way."""
+    return _search(docs, benchmark, window, block_words, names)
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, names: tuple[str, ...], then=None) -> DataFrame:
+    """then: (a function of a batch with the new columns, the schema of what it gives), applied where the last block of
+    phrases was searched, so that no second Python stage stands behind it."""
     taken = {c.lower() for c in names}
     columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]
     spans, items, words = names
@@ -214,14 +220,17 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
         {spans: F.array().cast("array<array<int>>"), items: F.array().cast(f"array<{item_type}>"), words: F.lit(0).cast("long")}
     )
     sc = docs.sparkSession.sparkContext
-    passes = 0
-    for block in _blocks(benchmark, block_words):
-        out, passes = _pass(out, sc.broadcast((block, window)), names), passes + 1
-    return out if passes else _pass(out, sc.broadcast(([], window)), names)  # the words are counted still
+    last: list = []  # without phrases, the words are counted still
+    for i, block in enumerate(_blocks(benchmark, block_words)):
+        if i:
+            out = _pass(out, sc.broadcast((last, window)), names)
+        last = block
+    return _pass(out, sc.broadcast((last, window)), names, then)
 
 
-def _pass(df: DataFrame, sent, names: tuple[str, ...]) -> DataFrame:
+def _pass(df: DataFrame, sent, names: tuple[str, ...], then=None) -> DataFrame:
     spans_, items_, words_ = names
+    finish, schema = then or (lambda batch: batch, df.schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(*sent.value)
@@ -237,7 +246,7 @@ def _pass(df: DataFrame, sent, names: tuple[str, ...]) -> DataFrame:
                 items = [sorted({*a, *b} - {None}) for a, (_, b) in zip(batch.column(items_).to_pylist(), mine, strict=True)]
                 new = {spans_: spans, items_: items, words_: [len(d) for d in docs]}
                 arrays = [pa.array(new[f.name], f.type) if f.name in new else batch.column(f.name) for f in batch.schema]
-                yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+                yield finish(pa.RecordBatch.from_arrays(arrays, schema=batch.schema))
             held.clear()
 
         for batch in small(it):
@@ -255,7 +264,7 @@ def _pass(df: DataFrame, sent, names: tuple[str, ...]) -> DataFrame:
         if held:
             yield from flush()
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -287,21 +296,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.05) ->
     n_chars, if there, follows the text."""
     columns = docs.columns
     hit, items, words = free_names(columns, *FOUND)
-    found = find(docs, benchmark, names=(hit, items, words))
-    n_hit = F.aggregate(hit, F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
-    kept = found.where((n_hit == 0) | (n_hit < share * F.col(words))).drop(items, words)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(it):
-            spans = batch.column(hit).to_pylist()
-            i = batch.schema.get_field_index("text")
-            if any(spans):
-                texts = [cut(t, s) for t, s in zip(batch.column(i).to_pylist(), spans, strict=True)]
-                batch = batch.set_column(i, "text", pa.array(texts, pa.string()))
-                j = batch.schema.get_field_index("n_chars")
-                if j >= 0:
-                    sizes = [n if not s else len(t) for n, t, s in zip(batch.column(j).to_pylist(), texts, spans, strict=True)]
-                    batch = batch.set_column(j, "n_chars", pa.array(sizes, batch.schema.field(j).type))
-            yield batch.select(columns)
-
-    return kept.mapInArrow(run, docs.schema)
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n_hit = [sum(b - a for a, b in own) for own in batch.column(hit).to_pylist()]
+        batch = batch.filter(pa.array([n == 0 or n < share * m for n, m in zip(n_hit, batch.column(words).to_pylist(), strict=True)], pa.bool_()))
+        spans = batch.column(hit).to_pylist()
+        i = batch.schema.get_field_index("text")
+        if any(spans):
+            texts = [cut(t, s) for t, s in zip(batch.column(i).to_pylist(), spans, strict=True)]
+            batch = batch.set_column(i, "text", pa.array(texts, pa.string()))
+            j = batch.schema.get_field_index("n_chars")
+            if j >= 0:
+                sizes = [n if not s else len(t) for n, t, s in zip(batch.column(j).to_pylist(), texts, spans, strict=True)]
+                batch = batch.set_column(j, "n_chars", pa.array(sizes, batch.schema.field(j).type))
+        return batch.select(columns)
+
+    return _search(docs, benchmark, WINDOW, BLOCK_WORDS, (hit, items, words), (finish, docs.schema))

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .bitmaps import among, bitmap, spot
 from .common import materialize, small
-from .components import components, forest
+from .components import components, forest, stars
 from .shingles import in_parts, mix, shingle_sets
 
 NUM, DEN = 75, 100
@@ -338,10 +338,10 @@ BITS_SENT = 32  # of a lane's hash, besides its bucket: lanes that only look ali
 
 
 def near_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes whose sizes and bit sketches allow a link; classes: c1, n, sketch, one row a class."""
+    """Pairs (a, b) of classes whose sizes and bit sketches allow a link, as edges (u, v) with the same components;
+    classes: c1, n, sketch, one row a class."""
     left = classes.select(F.col("c1").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("c1").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(it, 4096):
@@ -354,9 +354,9 @@ def near_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 at = np.flatnonzero(size == z)
                 unlike = np.bitwise_count(folded([sa[i] for i in at], z) ^ folded([sb[i] for i in at], z)).sum(axis=1, dtype=np.int64)
                 near[at] = _may_link(na[at], nb[at], unlike)
-            yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], schema=schema)
+            yield stars(a[near].tolist(), b[near].tolist())
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "u long, v long")
 
 
 def _between(n: np.ndarray, family: np.ndarray, sketches: list[bytes], own: np.ndarray, block: np.ndarray) -> list[tuple[int, int]]:
@@ -637,7 +637,7 @@ def families(docs: DataFrame, classes: DataFrame, buckets: int, rows: int) -> Da
     """docs (text), classes (c1, n, sketch) -> node, component: groups of classes such that no link leads out of one."""
     met = materialize(meetings(docs, buckets, frequent_shingles(docs, rows)), "join-met")
     near = near_enough(met.where("kind = 'pair'").select("a", "b").distinct(), classes)
-    first = materialize(components(near.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-first")
+    first = materialize(components(near, contract=False), "join-first")
     hot = met.where("kind = 'hot'").select(F.col("a").alias("gid"), F.col("b").alias("c1"))
     short = hot_only(hot, classes.select("c1", "n"))
     member = met.where("kind = 'group'").select(F.col("a").alias("gid"), F.explode("members").alias("c1")).union(hot.join(short, "c1", "left_semi").select("gid", "c1"))
