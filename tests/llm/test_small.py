@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from timberline.llm import additive_ann, bpe, chat, fm_decontaminate, gbt_quality, license_scan, parity_join, rlz_dedup, sharding, toxicity
 from timberline.llm.common import lower_words
-from timberline.llm.components import components
+from timberline.llm.components import components, forest
 
 R = random.Random(5)
 VOCAB = ["".join(R.choice("abcdefgh") for _ in range(R.randint(1, 7))) for _ in range(3000)]
@@ -185,6 +185,28 @@ def test_parity_join_larger_of_two_with_hot_lanes_only(spark):
     assert {r["c1"] for r in parity_join.hot_only(hot, sizes).collect()} == {1, 2}
 
 
+def test_parity_join_compares_overlapping_groups_once(spark, monkeypatch, tmp_path):
+    """Near copies of one text share very many lanes; members of these groups come to be compared once, not once a lane."""
+    r, seen, real = random.Random(13), str(tmp_path), parity_join._between
+
+    def counted(n, *rest):
+        import os
+        import tempfile
+
+        with os.fdopen(tempfile.mkstemp(prefix=f"{len(n)}-", dir=seen)[0], "w"):
+            return real(n, *rest)
+
+    monkeypatch.setattr(parity_join, "_between", counted)
+    alike = [parity_join.bit_sketch(np.random.default_rng(i).integers(0, 1 << 63, 400, dtype=np.uint64)) for i in range(4)]
+    groups = [r.sample(range(200), 100) for _ in range(60)] + [list(range(5000 + 99 * g, 5100 + 99 * g)) for g in range(4)]  # two nets
+    member = spark.createDataFrame([(g, c, 400, alike[c // 50 % 4], c) for g, own in enumerate(groups) for c in own], "gid long, c1 long, n long, sketch binary, family long")
+    got = [(e["u"], e["v"]) for e in parity_join.between_families(member).collect()]
+    want = [(a, b) for own in groups for a in own for b in own if a < b and a // 50 % 4 == b // 50 % 4]
+    assert forest(*zip(*got, strict=True)) == forest(*zip(*want, strict=True))
+    # The groups that overlap much are one, those of the chain stay apart; before, 60 * 100 rows were compared for the one.
+    assert sorted(int(f.name.split("-")[0]) for f in tmp_path.iterdir()) == [100, 100, 100, 100, 200]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7)], "u long, v long")
     got = {r["node"]: r["component"] for r in components(e).collect()}

@@ -419,14 +419,30 @@ def _within_few(start: np.ndarray, size: np.ndarray, n: np.ndarray, family: np.n
     return forest([e[0] for e in joined], [e[1] for e in joined])
 
 
+def gathered(wide: DataFrame) -> DataFrame:
+    """wide (gid, m: members of the group, c1, n, sketch, family) -> gid, c1, n, sketch, family: groups that overlap,
+    directly or through others, as one group, if that has no more pairs than they have. Near copies of one text share
+    most of their lanes, and would be compared again in each; no pair of a group is lost by joining it with others."""
+    stars_ = wide.join(wide.groupBy("gid").agg(F.min("c1").alias("u")), "gid").select("u", F.col("c1").alias("v"))
+    net = materialize(components(stars_), "join-net")
+    groups = wide.groupBy("gid").agg(F.min("c1").alias("node"), F.max("m").alias("m")).join(net, "node")
+    apart = groups.groupBy("component").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
+    worth = net.groupBy("component").agg(F.count("*").alias("c")).join(apart, "component").where("c * c <= apart").select("component")
+    into = materialize(groups.join(worth, "component").select("gid", "component"), "join-into")
+    named = net.join(worth, "component", "left_semi").select(F.col("component").alias("gid"), F.col("node").alias("c1"))
+    joint = named.join(wide.select("c1", "n", "sketch", "family").dropDuplicates(["c1"]), "c1")
+    columns = ["gid", "c1", "n", "sketch", "family"]
+    return joint.select(columns).union(wide.join(into, "gid", "left_anti").select(columns))
+
+
 def between_families(member: DataFrame) -> DataFrame:
     """member (gid, c1, n, sketch, family) -> edges (u, v) between families that have members in one group which may
     link by size and sketch.
 
-    Groups of FEW members or less come whole, many at once. Larger ones are dealt into bands of sizes a little wider
-    than the ratio of partners' sizes, so partners are of one band or of neighbours: a text is in its own and, as a
-    guest, in the next one's group. Those of more than GROUP members are cut into blocks, and each pair of blocks is a
-    task record of its own."""
+    Groups of FEW members or less come whole, many at once. Larger ones are first joined where they overlap, then
+    dealt into bands of sizes a little wider than the ratio of partners' sizes, so partners are of one band or of
+    neighbours: a text is in its own and, as a guest, in the next one's group. Those of more than GROUP members are cut
+    into blocks, and each pair of blocks is a task record of its own."""
     size = member.groupBy("gid").agg(F.count("*").alias("m"))
     member = materialize(member.join(size, "gid"), "join-open")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -459,7 +475,8 @@ def between_families(member: DataFrame) -> DataFrame:
 
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM * 1.0001))).cast("int")
     both = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))
-    dealt = member.where(F.col("m") > FEW).withColumn("at", F.explode(both)).select("gid", "c1", "n", "sketch", "family", "at.band", "at.own")
+    large = materialize(gathered(member.where(F.col("m") > FEW)), "join-wide")
+    dealt = large.withColumn("at", F.explode(both)).select("gid", "c1", "n", "sketch", "family", "at.band", "at.own")
     wide = dealt.groupBy("gid", "band").agg(F.count("*").alias("m"), F.min("family").alias("lo"), F.max("family").alias("hi"), F.max("own").alias("any"))
     wide = wide.where("lo < hi and any").select("gid", "band", F.ceil(F.col("m") / GROUP).cast("int").alias("blocks"))
     dealt = dealt.join(wide, ["gid", "band"]).withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int"))
