@@ -267,6 +267,17 @@ def test_bpe(docs, none):
     assert clash.columns == [*docs.columns, "ids", "n_tokens", "decoded"] and clash.where("n_tokens <> size(ids)").count() == 0
 
 
+def test_bpe_keeps_words_that_come_again():
+    """A word of every line is encoded once, however many others come between; the tables stay bounded."""
+    own, met = bpe.WordBPE(bpe.default_path(), memo=50), []
+    real = own.encode_word
+    own.encode_word = lambda w: met.append(w) or real(w)
+    for i in range(40):
+        own.written(" ".join(["qqzzqq", *(f"w{chr(97 + i % 26)}x{chr(97 + k)}y{i}" for k in range(9)), "vvzzvv!"]))
+        assert len(own.memo) <= 50 and len(own.older) <= 50
+    assert met.count("qqzzqq") == met.count("vvzzvv") == 1  # before: again after every clearing
+
+
 @pytest.mark.parametrize("shards", [3, 16])
 def test_sharding(docs, none, shards):
     got = sharding.shard(docs, shards).collect()

@@ -8,7 +8,9 @@ looked up pair by pair by undoing both tokens' merges. The result equals merging
 
 The vocabulary file is the "tokenizers" JSON of a BPE with word ends; its path is a parameter. Text is normalised as
 the file says (NFC, lower case; white space only separates words), special tokens are cut out of the raw text first.
-Words repeat, so each worker keeps the ids of words it has met, in a table of bounded size.
+Words repeat, so each worker keeps the ids of words it has met, in two tables of bounded size: when the newer one is
+full, it takes the place of the older one, and what is met again moves to the newer. So words of every text are kept,
+however many others occur once.
 
 Defined cases: null text is empty and has no ids; very long texts and words are handled whole; repeated rows each
 give a row; an empty table gives no rows; other columns are ignored.
@@ -96,8 +98,9 @@ class WordBPE:
         self.chars = _byte_chars()
         self.tokens = texts
         self.fits: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[str, str]] = {}
+        # Words and stretches of words: a word that stands alone is a stretch with the same ids.
         self.memo: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging in rank order leaves the border between tokens a and b alone."""
@@ -148,7 +151,12 @@ class WordBPE:
             last = ids[-1] if ids else -1
             while True:
                 end = at + length[token]
-                if not failed[end] and (end == n or lengths[end]) and (last < 0 or fits.get((last, token)) or self.compatible(last, token)):
+                fit = not failed[end] and (end == n or lengths[end])
+                if fit and last >= 0:
+                    fit = fits.get((last, token))
+                    if fit is None:
+                        fit = self.compatible(last, token)
+                if fit:
                     ids.append(token)
                     at = end
                     token = longest[at] if at < n else -1
@@ -171,28 +179,31 @@ class WordBPE:
         """As the library without a decoder: the tokens, joined by one space."""
         return " ".join([self.decode_token(i) for i in ids])
 
-    def _word(self, word: str) -> tuple[str, str]:
-        ids = self.encode_word(word)
-        made = " ".join(map(str, ids)), self.decode(ids)
-        if len(self.words) >= self.memo_size:
-            self.words.clear()
-        if len(word) <= 64:
-            self.words[word] = made
+    def _keep(self, text: str, made: tuple[str, str]) -> tuple[str, str]:
+        if len(text) <= 64:
+            if len(self.memo) >= self.memo_size:
+                self.older = self.memo.copy()
+                self.memo.clear()  # the same object, as callers hold its methods
+            self.memo[text] = made
         return made
 
+    def _word(self, word: str) -> tuple[str, str]:
+        made = self.older.get(word)
+        if made is None:
+            ids = self.encode_word(word)
+            made = " ".join(map(str, ids)), self.decode(ids)
+        return self._keep(word, made)
+
     def _chunk(self, chunk: str) -> tuple[str, str]:
-        """Ids in decimal and decoded tokens of a stretch without white space."""
-        known = self.words
+        """Ids in decimal and decoded tokens of a stretch without white space that memo does not hold."""
         if chunk.isalpha():
-            made = known.get(chunk) or self._word(chunk)
-        else:
+            return self._word(chunk)
+        made = self.older.get(chunk)
+        if made is None:
+            known = self.memo
             parts = [known.get(w) or self._word(w) for w in _WORDS.findall(chunk)]
             made = parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
-        if len(self.memo) >= self.memo_size:
-            self.memo.clear()
-        if len(chunk) <= 64:
-            self.memo[chunk] = made
-        return made
+        return self._keep(chunk, made)
 
     def _plain(self, text: str) -> list[tuple[str, str]]:
         if not text.isascii():
