@@ -81,6 +81,27 @@ def test_rlz_hot_anchor(spark, monkeypatch):
     assert got == {0: 0, **{i: 60 for i in range(1, 12)}}
 
 
+def test_rlz_repeats_inside(spark, monkeypatch):
+    line, other, edge = words(13, 31), words(20, 32), words(30, 33)
+    texts = [edge + line * 40, words(60, 34) + line * 300, line * 25 + edge + line * 9, other * 50 + words(5, 35), words(9, 36) + other * 70 + line * 30, edge + line * 40, ["x", "y"] * 90, ["x", "y"] * 500 + edge]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    rows = rlz_dedup.contexts(d).groupBy("k", "anchor", "context").count()
+    assert rows.where("count > 1").count() == 0 and rows.count() < 400  # not one for each place
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        gone = set()
+        for s in range(len(t) - 49):
+            if first.setdefault(tuple(t[s : s + 50]), i) < i:
+                gone.update(range(s, s + 50))
+        kept = " ".join(x for j, x in enumerate(t) if j not in gone)
+        want[i] = (len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    for hot in (rlz_dedup.HOT, 1):
+        monkeypatch.setattr(rlz_dedup, "HOT", hot)
+        assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in rlz_dedup.digest(d).collect()} == want
+        spans = {r["k"]: rlz_dedup.merged(r["spans"]) for r in rlz_dedup.duplicate_spans(d).collect()}
+        assert all(sum(b - a for a, b in spans.get(i, [])) == n for i, (n, _) in want.items())
+
+
 def sets():
     out = []
     for i, t, *_ in corpus():

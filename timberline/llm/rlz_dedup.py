@@ -3,6 +3,7 @@
 Any two equal windows of WINDOW words hold the same smallest GRAM-word gram at the same place, their anchor. Every
 document is cut at its anchors: the windows of one anchor lie in one short context. All contexts of an anchor go to
 one reference block, so a context needs to be parsed against that block only; no other block can hold its windows.
+A context that a document repeats, as in repeated lines, is one row with all its places: what is found at one holds at each.
 
 * A context that occurs, word for word, in an earlier document is a duplicate as a whole: counted by hash, with
   partial sums before the shuffle, so copies of whatever number never meet in one task.
@@ -93,19 +94,32 @@ def _key() -> list:
     return [F.coalesce("doc_id", F.lit(_LAST)).alias("k"), F.xxhash64("text").alias("th")]
 
 
+def once(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, context: np.ndarray) -> tuple:
+    """Contexts as `anchors` gives them, once for each text: (text, anchor, context, how many windows follow the first, first
+    windows' starts at all places as bytes of 32-bit numbers)."""
+    order = np.lexsort((context, anchor, text))  # keeps the order of places
+    text, lo, hi, anchor, context = (x[order] for x in (text, lo, hi, anchor, context))
+    new = np.ones(len(text), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
+    new = np.flatnonzero(new)
+    ends = (4 * np.append(new, len(text))).astype(np.int32)
+    places = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends), pa.py_buffer(lo.astype(np.int32))])
+    return text[new], anchor[new], context[new], (hi - lo)[new], places
+
+
 def contexts(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> k, th (what tells a row's text), anchor, context, lo, hi (first and last window)."""
-    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+    """docs (doc_id, text) -> k, th (what tells a row's text), anchor, context, more, places (see `once`)."""
+    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("more", pa.int32()), ("places", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(it):
             k, th = (batch.column(c).to_numpy() for c in ("k", "th"))
             for at, texts in in_parts(batch.column("text").to_pylist()):
-                text, lo, hi, anchor, context = anchors(*word_hashes(texts, lower=False))
-                columns = [k[at + text], th[at + text], anchor.view(np.int64), context.view(np.int64), lo.astype(np.int32), hi.astype(np.int32)]
+                text, anchor, context, more, places = once(*anchors(*word_hashes(texts, lower=False)))
+                columns = [k[at + text], th[at + text], anchor.view(np.int64), context.view(np.int64), more.astype(np.int32), places]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
-    return docs.select(*_key(), "text").mapInArrow(run, "k long, th long, anchor long, context long, lo int, hi int")
+    return docs.select(*_key(), "text").mapInArrow(run, "k long, th long, anchor long, context long, more int, places binary")
 
 
 def parse_block(pieces: list[tuple[int, np.ndarray]]) -> list[list[tuple[int, int]]]:
@@ -148,7 +162,8 @@ def parse_block(pieces: list[tuple[int, np.ndarray]]) -> list[list[tuple[int, in
 
 
 def duplicate_spans(docs: DataFrame, blocks: int | None = None) -> DataFrame:
-    """docs (doc_id, text) -> k, th, spans: arrays of (start, end) of words to go, neither sorted nor merged."""
+    """docs (doc_id, text) -> k, th, spans: arrays of (places, start, end); words from start to before end, counted from
+    each place, go. Neither sorted nor merged."""
     spark = docs.sparkSession
     blocks = blocks or BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ctx = materialize(contexts(docs), "rlz-contexts")
@@ -157,11 +172,11 @@ def duplicate_spans(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     varied = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     # What may matter: contexts seen more than once, or one of several of an anchor.
     several = distinct.join(varied, "anchor", "left").where("times > 1 or n > 1").select("anchor", "context", "first", F.coalesce("n", F.lit(1)).alias("n"))
-    judged = ctx.join(several, ["anchor", "context"]).select("k", "th", "anchor", "lo", "hi", "n", (F.col("first") < F.col("k")).alias("whole"))
+    judged = ctx.join(several, ["anchor", "context"]).select("k", "th", "anchor", "more", "places", "n", (F.col("first") < F.col("k")).alias("whole"))
     judged = materialize(judged.where("whole or n > 1"), "rlz-judged")
-    whole = judged.where("whole").select("k", "th", F.col("lo").alias("start"), (F.col("hi") + WINDOW).alias("end"))
+    whole = judged.where("whole").select("k", "th", "places", F.lit(0).alias("start"), (F.col("more") + WINDOW).alias("end"))
 
-    wanted = judged.where("not whole").groupBy("k", "th").agg(F.collect_list(F.struct("anchor", "lo", "hi", (F.col("n") > HOT).alias("hot"))).alias("at"))
+    wanted = judged.where("not whole").groupBy("k", "th").agg(F.collect_list(F.struct("anchor", "more", "places", (F.col("n") > HOT).alias("hot"))).alias("at"))
     bits, packed = bitmap(judged.where("not whole"), "k")
     sent = spark.sparkContext.broadcast(packed)  # 32 MB at most
 
@@ -170,7 +185,7 @@ def duplicate_spans(docs: DataFrame, blocks: int | None = None) -> DataFrame:
             yield batch.filter(pa.array(among(batch.column("p").to_numpy(), sent.value))).select(["k", "th", "text"])
 
     texts = docs.select(*_key(), "text").withColumn("p", spot("k", bits)).mapInArrow(near, "k long, th long, text string").dropDuplicates(["k", "th"])
-    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("block", pa.int32()), ("start", pa.int32()), ("words", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
+    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("block", pa.int32()), ("places", pa.binary()), ("start", pa.int32()), ("words", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(it):
@@ -183,21 +198,22 @@ def duplicate_spans(docs: DataFrame, blocks: int | None = None) -> DataFrame:
                 for i in range(len(part)):
                     k, th, base = ks[lo + i], ths[lo + i], int(first[i])
                     for c in ats[lo + i]:
-                        a, b = base + c["lo"], base + c["hi"]
+                        a = base + int(np.frombuffer(c["places"], np.int32, 1)[0])
+                        b = a + c["more"]
                         if c["hot"]:
                             s = np.arange(a, b + 1)
                             h1, h2 = r1.of(s, s + WINDOW, 2).view(np.int64).tolist(), r2.of(s, s + WINDOW, 3).view(np.int64).tolist()
-                            rows += [(k, th, None, c["lo"] + j, None, x, y) for j, (x, y) in enumerate(zip(h1, h2, strict=True))]
+                            rows += [(k, th, None, c["places"], j, None, x, y) for j, (x, y) in enumerate(zip(h1, h2, strict=True))]
                         else:
                             block = c["anchor"] % blocks
-                            rows.append((k, th, block, c["lo"], words[a : b + WINDOW].tobytes(), None, None))
+                            rows.append((k, th, block, c["places"], 0, words[a : b + WINDOW].tobytes(), None, None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    cut_up = texts.join(wanted, ["k", "th"]).select("k", "th", "text", "at").mapInArrow(split, "k long, th long, block int, start int, words binary, w1 long, w2 long")
+    cut_up = texts.join(wanted, ["k", "th"]).select("k", "th", "text", "at").mapInArrow(split, "k long, th long, block int, places binary, start int, words binary, w1 long, w2 long")
     cut_up = materialize(cut_up, "rlz-pieces")
 
-    piece_schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+    piece_schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("places", pa.binary()), ("start", pa.int32()), ("end", pa.int32())])
 
     def parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in order of their blocks; only one block's are held."""
@@ -205,13 +221,13 @@ def duplicate_spans(docs: DataFrame, blocks: int | None = None) -> DataFrame:
 
         def done() -> Iterator[pa.RecordBatch]:
             found = parse_block([(r[0], np.frombuffer(r[3], np.uint64)) for r in rows])
-            spans = [(r[0], r[1], r[2] + a, r[2] + b) for r, own in zip(rows, found, strict=True) for a, b in own]
+            spans = [(r[0], r[1], r[2], a, b) for r, own in zip(rows, found, strict=True) for a, b in joined(own)]
             if spans:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*spans, strict=True), piece_schema, strict=True)], schema=piece_schema)
             rows.clear()
 
         for batch in small(it):
-            for b, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "k", "th", "start", "words")), strict=True):
+            for b, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "k", "th", "places", "words")), strict=True):
                 if b != now and rows:
                     yield from done()
                 now = b
@@ -219,17 +235,18 @@ def duplicate_spans(docs: DataFrame, blocks: int | None = None) -> DataFrame:
         if rows:
             yield from done()
 
-    factors = cut_up.where("block is not null").select("block", "k", "th", "start", "words").repartition(max(1, blocks // BLOCKS), "block").sortWithinPartitions("block").mapInArrow(parse, "k long, th long, start int, end int")
-    hot = cut_up.where("block is null").select("k", "th", "start", "w1", "w2")
+    factors = cut_up.where("block is not null").select("block", "k", "th", "places", "words").repartition(max(1, blocks // BLOCKS), "block").sortWithinPartitions("block").mapInArrow(parse, "k long, th long, places binary, start int, end int")
+    hot = cut_up.where("block is null").select("k", "th", "places", "start", "w1", "w2")
     earliest = hot.groupBy("w1", "w2").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("w1", "w2", "first")
-    single = hot.join(earliest, ["w1", "w2"]).where("first < k").select("k", "th", "start", (F.col("start") + WINDOW).alias("end"))
+    single = hot.join(earliest, ["w1", "w2"]).where("first < k").select("k", "th", "places", "start", (F.col("start") + WINDOW).alias("end"))
     spans = whole.union(factors).union(single)
-    return spans.groupBy("k", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return spans.groupBy("k", "th").agg(F.collect_list(F.struct("places", "start", "end")).alias("spans"))
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans sorted, and those that touch as one."""
     out: list[list[int]] = []
-    for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -237,6 +254,19 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """What goes, at all places, as sorted spans of a text's words that don't touch."""
+    if not spans:
+        return []
+    at = [np.frombuffer(s["places"], np.int32).astype(np.int64) for s in spans]
+    sizes = [len(a) for a in at]
+    start, end = (np.concatenate(at) + np.repeat([s[c] for s in spans], sizes) for c in ("start", "end"))
+    order = np.argsort(start)
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(start[1:] > end[:-1]) + 1
+    return list(zip(start[np.append(0, new)].tolist(), end[np.append(new - 1, len(end) - 1)].tolist(), strict=True))
+
+
 def _apply(docs: DataFrame, make, schema) -> DataFrame:
     """make(batch with columns of docs and a list of merged spans for each row) over all rows; only texts that may have
     spans are shuffled."""
