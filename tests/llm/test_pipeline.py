@@ -131,3 +131,31 @@ def test_empty_tables(spark, run):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, none, at)
         assert out.count() == 0 and (name == "tokens" or out.columns == none.columns)
+
+
+@pytest.mark.parametrize("step", ["quality", "near_duplicates", "substrings"])
+def test_tokenizer_goes(spark, run, step):
+    """A worker that has encoded texts holds no tokenizer any more once another stage's step has run in it."""
+    import pyarrow as pa
+
+    from timberline.llm import parity_join, rlz_dedup
+
+    at, *_ = run
+    few = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").limit(3)
+    model = gbt_quality.fit(spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet"), "quality", 4, 2)
+    make = {"quality": lambda d: gbt_quality.classify(d, model), "near_duplicates": parity_join.sets_of, "substrings": rlz_dedup.contexts}[step]
+    path = bpe.default_path()
+
+    class Docs:  # stands for a table: runs the step's function in this process
+        columns, dtypes = few.columns, few.dtypes
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            list(f(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "k": [1], "th": [1], "text": ["a b c"]})])))
+
+    held = bpe.load(path)
+    assert bpe.load(path) is held
+    make(Docs())
+    assert bpe.load(path) is not held

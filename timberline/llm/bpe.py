@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batches, sha_hex
+from .common import KEPT, batches, sha_hex
 
 #: Words of the tokenizer: contractions, letters, single numbers, other signs. Fixed value.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -235,14 +235,11 @@ class WordBPE:
         return [int(i) for i in self.written(text)[0].split()]
 
 
-_LOADED: dict[str, WordBPE] = {}
-
-
 def load(path: str) -> WordBPE:
-    """One tokenizer for each worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBPE(path)
-    return _LOADED[path]
+    """One tokenizer for each worker process and file, until another operator makes room."""
+    if path not in KEPT:
+        KEPT[path] = WordBPE(path)
+    return KEPT[path]
 
 
 def default_path() -> str:

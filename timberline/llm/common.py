@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import tempfile
@@ -23,6 +24,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ARROW_ROWS, ARROW_BYTES = 2_000, 16 << 20
 #: Of the C library: large arrays go back to the system when they are freed, as workers live on from stage to stage.
 ALLOCATION = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2"}
+#: What an operator keeps in a worker from task to task.
+KEPT: dict = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,6 +44,13 @@ def ensure_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
+def make_room() -> None:
+    """In a worker: lets go what another operator kept, as workers live on from stage to stage."""
+    if KEPT:
+        KEPT.clear()
+        gc.collect()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     ensure_workers(spark)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, free_names, small, without
+from .common import crc_mod, free_names, make_room, small, without
 
 SAMPLE = 16_000
 FEATURES = (
@@ -180,6 +180,7 @@ def classify(docs: DataFrame, model: Trees, column: str = "score") -> DataFrame:
     docs = without(docs, column)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in small(it):
             x = np.array([statistics(t.as_py()) for t in batch.column("text")]).reshape(batch.num_rows, len(FEATURES))
             yield batch.append_column(column, pa.array(model.score(x)))

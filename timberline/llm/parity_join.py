@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmaps import among, bitmap, spot
-from .common import materialize, small
+from .common import make_room, materialize, small
 from .components import components, forest, stars
 from .shingles import in_parts, mix, shingle_sets
 
@@ -137,6 +137,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sketch", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in small(it):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for lo, part in in_parts(texts):

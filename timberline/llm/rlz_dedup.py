@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmaps import among, bitmap, spot
-from .common import materialize, sha_hex, small
+from .common import make_room, materialize, sha_hex, small
 from .shingles import _BASE, in_parts, mix, powers, word_hashes
 
 WINDOW, GRAM, HOT, BLOCKS = 50, 16, 500, 16  # BLOCKS: reference blocks for each partition
@@ -112,6 +112,7 @@ def contexts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("more", pa.int32()), ("places", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in small(it):
             k, th = (batch.column(c).to_numpy() for c in ("k", "th"))
             for at, texts in in_parts(batch.column("text").to_pylist()):
