@@ -102,6 +102,11 @@ def test_rlz_repeats_inside(spark, monkeypatch):
         assert all(sum(b - a for a, b in spans.get(i, [])) == n for i, (n, _) in want.items())
 
 
+def test_rlz_steps_apart(docs):
+    plan = rlz_dedup.dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def sets():
     out = []
     for i, t, *_ in corpus():

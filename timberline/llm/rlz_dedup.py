@@ -295,7 +295,8 @@ def _apply(docs: DataFrame, make, schema) -> DataFrame:
         return finish(side(False)(it))
 
     alone = keyed.mapInArrow(plain, schema)
-    shared = keyed.mapInArrow(side(True), keyed.schema).join(spans, ["k", "th"], "left").select("row", "spans").mapInArrow(finish, schema)
+    # Not broadcast, however few the spans are: with a shuffle between them, the two Python steps don't run in one task.
+    shared = keyed.mapInArrow(side(True), keyed.schema).join(spans.hint("merge"), ["k", "th"], "left").select("row", "spans").mapInArrow(finish, schema)
     return alone.union(shared)
 
 
