@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -427,6 +428,45 @@ def test_misspelled(spark):
     assert score[0] > 0.7 and score[1] > 0.7 and score[2] < 0.5
 
 
+def test_subword_rows(monkeypatch):
+    def plain(word):
+        raw, out = b"<" + word + b">", []
+        for n in toxicity.NGRAMS:
+            for i in range(len(raw) - n + 1):
+                code = 0
+                for c in raw[i : i + n]:
+                    code = code * 0x100000001B3 + c
+                out.append(((code + n) * 0x9E3779B97F4A7C15) % 2**64 >> 64 - toxicity.ROWS_LOG)
+        return out
+
+    some = [w.encode() for w in words(40, 3)] + [b"a", b"x" * 300, "zürich".encode(), b"b"]
+    for piece in (1, 7, 64, 1 << 18):
+        monkeypatch.setattr(toxicity, "PIECE", piece, raising=False)
+        for few in ([], [b"a"], [b"ab"], [b"abcd"], [b"a", b"b"], some):  # under seven bytes together: longer n-grams find no place at all
+            rows, start = toxicity.grams(few)
+            assert [x.tolist() for x in np.split(rows, start[1:])][: len(few)] == [plain(w) for w in few]
+            assert np.allclose(toxicity._means(np.arange(toxicity.ROWS) / 7, rows, start), [np.mean(plain(w)) / 7 for w in few])
+    assert np.allclose(toxicity.Bag(np.ones(toxicity.ROWS), 0.0).score(["a", "", None]), [1 / (1 + np.exp(-1 / toxicity.WINDOW)), 0.5, 0.5])
+
+
+def test_subword_training_memory(monkeypatch):
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(r.choices(letters, k=30_000 if i % 10 == 0 else 8)) + " " + " ".join("".join(r.choices(letters, k=8)) for _ in range(500)) for i in range(60)]
+    y = np.arange(60) % 2
+    tracemalloc.start()
+    try:
+        toxicity.train(iter(texts), y, epochs=1)
+        _, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert most < 50e6  # 124 MB when n-grams were all worked on at once and wide
+    # Windows of long words are learned from in smaller steps, each window once.
+    monkeypatch.setattr(toxicity, "STEP_GRAMS", 1)
+    one = toxicity.train(["idiot here", "nothing here", "an idiot", "fine words"], np.array([1, 0, 1, 0]))
+    assert (one.score(["what an idiot", "fine here"]) > 0.5).tolist() == [True, False]
+
+
 def test_ann(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(3000, 24))

@@ -18,7 +18,7 @@ the name of the column that is added.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -32,33 +32,50 @@ from .common import crc_mod, lower_words, small, without
 SAMPLE, ROWS_LOG, DIM, WINDOW, NGRAMS = 6_000, 16, 8, 4, (3, 4, 5, 6, 7, 8)
 SAMPLE_CHARS = 48_000_000  # of the texts that reach the driver
 ROWS = 1 << ROWS_LOG
+ROW = np.uint16 if ROWS_LOG <= 16 else np.uint32  # n-grams are many: each is the number of its row, and no wider
+PIECE = 1 << 18  # letters or n-grams that are worked on at once
+STEP, STEP_GRAMS = 512, 1 << 20  # windows of a training step, and n-grams of them; one window with more is a step of its own
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the table for the n-grams of all words, one word after the other, and where each word's begin."""
+    """Rows of the table for the n-grams of all words, one word after the other, and where each word's begin. Of a word
+    the shorter n-grams come first. Besides what it returns it needs little: the letters are worked off in pieces."""
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    raw = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint64)
+        return np.zeros(0, ROW), np.zeros(0, np.int64)
+    raw = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    ends = np.cumsum(size)
-    left = np.repeat(ends, size) - np.arange(len(raw))  # bytes from here to the end of the word
-    word, rows = np.repeat(np.arange(len(words)), size), []
-    at, code = [], raw.copy()
-    for n in range(2, max(NGRAMS) + 1):
-        code[: len(raw) - n + 1] = code[: len(raw) - n + 1] * np.uint64(0x100000001B3) + raw[n - 1 :]
-        if n in NGRAMS:
-            here = np.flatnonzero(left >= n)
-            mixed = (code[here] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            rows.append((mixed >> np.uint64(64 - ROWS_LOG)).astype(np.int64))
-            at.append(word[here])
-    owner = np.concatenate(at)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate(rows)[order], np.searchsorted(owner[order], np.arange(len(words)))
-
-
-def _means(values: np.ndarray, start: np.ndarray) -> np.ndarray:
-    size = np.diff(start, append=len(values))
-    return np.add.reduceat(values, start) / size  # each word has an n-gram: "<w>" is one
+    begin = np.cumsum(size) - size
+    count = sum(np.maximum(size - n + 1, 0) for n in NGRAMS)
+    start = np.cumsum(count) - count
+    rows = np.empty(int(count.sum()), ROW)
+    for lo in range(0, len(raw), PIECE):
+        hi = min(lo + PIECE, len(raw))
+        first, last = np.searchsorted(begin, [lo, hi - 1], "right") - 1  # words of this piece
+        edges = np.append(begin[first : last + 1], hi)
+        edges[0] = lo
+        word = np.repeat(np.arange(first, last + 1), np.diff(edges))
+        at, whole = np.arange(lo, hi) - begin[word], size[word]
+        left, to = whole - at, start[word] + at  # bytes from here to the end of the word; where the next n-gram from here goes
+        here = raw[lo : hi + max(NGRAMS) - 1].astype(np.uint64)
+        code = here.copy()
+        for n in range(2, min(max(NGRAMS), len(here)) + 1):
+            code[: len(here) - n + 1] = code[: len(here) - n + 1] * np.uint64(0x100000001B3) + here[n - 1 :]
+            if n in NGRAMS:
+                full = np.flatnonzero(left >= n)
+                rows[to[full]] = ((code[full] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ROWS_LOG)
+                to += np.maximum(whole - n + 1, 0)
+    return rows, start
+
+
+def _means(values: np.ndarray, flat: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The mean value of each word's n-grams; each word has one: "<w>" is one."""
+    out, ends = np.empty(len(start)), np.append(start[1:], len(flat))
+    lo = 0
+    while lo < len(start):  # so many words that their n-grams fit a piece, one word at least
+        hi = max(lo + 1, int(np.searchsorted(ends, start[lo] + PIECE, "right")))
+        out[lo:hi] = np.add.reduceat(values[flat[start[lo] : ends[hi - 1]]], start[lo:hi] - start[lo])
+        lo = hi
+    return out / (ends - start)
 
 
 @dataclass
@@ -78,8 +95,7 @@ class Bag:
         new = [w for w in set(chain.from_iterable(docs)) if w not in memo]
         for lo in range(0, len(new), 100_000):
             part = new[lo : lo + 100_000]
-            flat, start = grams(part)
-            memo.update(zip(part, _means(self.weight[flat], start).tolist(), strict=True))
+            memo.update(zip(part, _means(self.weight, *grams(part)).tolist(), strict=True))
         look = memo.__getitem__
         raw = [_windows(np.fromiter(map(look, d), np.float64, len(d))).max() if d else 0.0 for d in docs]
         return 1 / (1 + np.exp(-(np.array(raw, dtype=float) + self.bias)))
@@ -93,9 +109,10 @@ def _windows(v: np.ndarray) -> np.ndarray:
     return (c[WINDOW:] - c[:-WINDOW]) / WINDOW
 
 
-def train(texts: list[str], y: np.ndarray, epochs: int = 12, rate: float = 0.05, top: int = 2, seed: int = 0, explore: int = 8, most: float = 12.0) -> Bag:
+def train(texts: Iterable[str | None], y: np.ndarray, epochs: int = 12, rate: float = 0.05, top: int = 2, seed: int = 0, explore: int = 8, most: float = 12.0) -> Bag:
     """Table and softmax together; every text gives its `top` highest windows to each epoch, and random ones to the
-    first `explore`. Toxic texts weigh as much as the others together, each `most` times as much as another at most."""
+    first `explore`. Toxic texts weigh as much as the others together, each `most` times as much as another at most.
+    Texts are taken one at a time; what stays of them are numbers of words."""
     y = np.asarray(y, dtype=float)
     if len(y) == 0 or y.min() == y.max():
         share = 0.0 if len(y) == 0 else (y.sum() + 1) / (len(y) + 2)
@@ -104,8 +121,9 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 12, rate: float = 0.05,
     index: dict[bytes, int] = {}
     docs = []
     for t in texts:
-        docs.append(np.array([index.setdefault(w, len(index)) for w in lower_words(t)], dtype=np.int64))
+        docs.append(np.array([index.setdefault(w, len(index)) for w in lower_words(t)], dtype=np.int32))
     flat, start = grams(list(index))
+    index.clear()
     size = np.diff(start, append=len(flat))
     # Words of few texts say little by themselves: their own row and rare n-grams start at nothing like all others.
     table = rng.normal(0, 0.02, (ROWS, DIM))
@@ -116,7 +134,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 12, rate: float = 0.05,
     positive = np.flatnonzero(y == 1)
     balance = np.where(y == 1, min(most, (len(y) - len(positive)) / max(1, len(positive))), 1.0)
     for epoch in range(epochs):
-        logit = _means((table @ (soft[:, 1] - soft[:, 0]))[flat], start)
+        logit = _means(table @ (soft[:, 1] - soft[:, 0]), flat, start)
         picked, target, weight = [], [], []
         for d in rng.permutation(len(docs)):
             words = docs[d]
@@ -133,9 +151,11 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 12, rate: float = 0.05,
                 picked.append(words[b : b + WINDOW])
                 target.append(y[d])
                 weight.append(balance[d] / len(best))
-        for lo in range(0, len(picked), 512):
-            part = picked[lo : lo + 512]
-            t, wt = np.array(target[lo : lo + 512]), np.array(weight[lo : lo + 512])
+        sums, hi = np.cumsum([0, *(size[p].sum() for p in picked)]), 0
+        while hi < len(picked):
+            lo, hi = hi, min(hi + STEP, max(hi + 1, int(np.searchsorted(sums, sums[hi] + STEP_GRAMS, "right")) - 1))
+            part = picked[lo:hi]
+            t, wt = np.array(target[lo:hi]), np.array(weight[lo:hi])
             word = np.concatenate(part)
             row = np.repeat(np.arange(len(part)), [len(p) for p in part])
             k = size[word]
@@ -176,7 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
         last = max(1, int(np.searchsorted(sums, chars, "right")))
         rows = rows.where((F.xxhash64("doc_id") < sizes[last - 1][0]) | (F.col("doc_id") == sizes[last - 1][1]))
     got = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["y"], r["text"] or ""))
-    return train([r["text"] for r in got], np.array([r["y"] for r in got]))
+    y = np.array([r["y"] for r in got])
+    got.reverse()
+    return train((got.pop()["text"] for _ in range(len(got))), y)  # each text goes once its words are numbered
 
 
 def classify(docs: DataFrame, model: Bag, column: str = "score") -> DataFrame:
