@@ -461,10 +461,26 @@ def test_subword_training_memory(monkeypatch):
     finally:
         tracemalloc.stop()
     assert most < 50e6  # 124 MB when n-grams were all worked on at once and wide
-    # Windows of long words are learned from in smaller steps, each window once.
-    monkeypatch.setattr(toxicity, "STEP_GRAMS", 1)
-    one = toxicity.train(["idiot here", "nothing here", "an idiot", "fine words"], np.array([1, 0, 1, 0]))
-    assert (one.score(["what an idiot", "fine here"]) > 0.5).tolist() == [True, False]
+
+
+def test_subword_long_words(monkeypatch):
+    few, y = ["idiot here", "nothing here " * 3, "an idiot", "fine words"], np.array([1, 0, 1, 0])
+    monkeypatch.setattr(toxicity, "STEP", 1, raising=False)
+    plain = toxicity.train(few, y, epochs=3)
+    monkeypatch.setattr(toxicity, "STEP_GRAMS", 1, raising=False)  # each window is a bag of rows
+    bags = toxicity.train(few, y, epochs=3)
+    assert np.allclose(plain.weight, bags.weight, atol=1e-9) and abs(plain.bias - bags.bias) < 1e-9
+    assert (toxicity.train(few, y).score(["what an idiot", "fine here"]) > 0.5).tolist() == [True, False]
+    monkeypatch.undo()
+    long = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz", k=300_000))
+    tracemalloc.start()
+    try:
+        score = toxicity.train([f"an idiot {long}", "nothing here", "fine words"], np.array([1, 0, 0])).score([long, "fine"])
+        _, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert most < 80e6  # 299 MB when a window of long words was learned from gram by gram
+    assert score[0] > score[1]
 
 
 def test_ann(spark):

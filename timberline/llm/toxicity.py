@@ -34,7 +34,7 @@ SAMPLE_CHARS = 48_000_000  # of the texts that reach the driver
 ROWS = 1 << ROWS_LOG
 ROW = np.uint16 if ROWS_LOG <= 16 else np.uint32  # n-grams are many: each is the number of its row, and no wider
 PIECE = 1 << 18  # letters or n-grams that are worked on at once
-STEP, STEP_GRAMS = 512, 1 << 20  # windows of a training step, and n-grams of them; one window with more is a step of its own
+STEP, STEP_GRAMS = 512, 1 << 20  # windows of a training step, and n-grams of them; one window with more is a step of its own, as a bag of rows
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,13 +67,24 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return rows, start
 
 
+def _bag(flat: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Each row's share of the n-grams from lo to hi."""
+    count = np.zeros(ROWS)
+    for at in range(lo, hi, PIECE):
+        count += np.bincount(flat[at : min(at + PIECE, hi)], minlength=ROWS)
+    return count / (hi - lo)
+
+
 def _means(values: np.ndarray, flat: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The mean value of each word's n-grams; each word has one: "<w>" is one."""
     out, ends = np.empty(len(start)), np.append(start[1:], len(flat))
     lo = 0
     while lo < len(start):  # so many words that their n-grams fit a piece, one word at least
         hi = max(lo + 1, int(np.searchsorted(ends, start[lo] + PIECE, "right")))
-        out[lo:hi] = np.add.reduceat(values[flat[start[lo] : ends[hi - 1]]], start[lo:hi] - start[lo])
+        if ends[hi - 1] - start[lo] > PIECE:
+            out[lo] = _bag(flat, start[lo], ends[lo]) @ values * (ends[lo] - start[lo])
+        else:
+            out[lo:hi] = np.add.reduceat(values[flat[start[lo] : ends[hi - 1]]], start[lo:hi] - start[lo])
         lo = hi
     return out / (ends - start)
 
@@ -157,10 +168,15 @@ def train(texts: Iterable[str | None], y: np.ndarray, epochs: int = 12, rate: fl
             part = picked[lo:hi]
             t, wt = np.array(target[lo:hi]), np.array(weight[lo:hi])
             word = np.concatenate(part)
-            row = np.repeat(np.arange(len(part)), [len(p) for p in part])
-            k = size[word]
-            g = flat[np.repeat(start[word] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())]
-            grow, share = np.repeat(row, k), np.repeat(1 / (k * WINDOW), k)
+            if sums[hi] - sums[lo] > STEP_GRAMS:
+                share = sum(_bag(flat, start[w], start[w] + size[w]) for w in word) / WINDOW
+                g = np.flatnonzero(share)
+                grow, share = np.zeros(len(g), np.int64), share[g]
+            else:
+                row = np.repeat(np.arange(len(part)), [len(p) for p in part])
+                k = size[word]
+                g = flat[np.repeat(start[word] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())]
+                grow, share = np.repeat(row, k), np.repeat(1 / (k * WINDOW), k)
             hidden = np.add.reduceat(table[g] * share[:, None], np.searchsorted(grow, np.arange(len(part))))
             z = hidden @ soft + bias
             z = np.exp(z - z.max(1, keepdims=True))
