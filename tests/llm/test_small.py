@@ -506,3 +506,30 @@ def test_ann(spark):
     few = additive_ann.search(df.limit(3), df.limit(3), 5).groupBy("query_id").count().collect()
     assert {r["count"] for r in few} == {2}
     assert additive_ann.search(df.limit(0), df, 5).count() == 0
+
+
+def test_ann_finds_all_nearest(spark):
+    """On rows that codes tell apart badly: tight groups, a large common part, many dimensions, two lengths, and numbers whose squares overflow."""
+    r = np.random.default_rng(1)
+    groups = r.normal(size=(3, 24))[r.integers(0, 3, 1200)] + 1e-4 * r.normal(size=(1200, 24))
+    parts = [groups.astype(np.float32), np.float32(1e4 + r.normal(size=(1200, 24))), np.float32(r.normal(size=(1000, 300))), 1e200 * r.normal(size=(100, 24)), np.repeat(r.normal(size=(1, 24)), 900, 0)]
+    rows = [(i, v.tolist()) for i, v in enumerate(v.astype(float) for part in parts for v in part)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for g in additive_ann.search(df, df.where("vec_id % 50 = 0"), 5, block=1500, query_block=60).orderBy("rank").collect():
+        got.setdefault(g["query_id"], []).append((g["vec_id"], g["score"]))
+    assert sorted(got) == list(range(0, len(rows), 50))
+    for width in (24, 300):
+        ids = np.array([i for i, v in rows if len(v) == width])
+        v = np.array([v for _, v in rows if len(v) == width])
+        v /= abs(v).max(1, keepdims=True)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        for at in np.flatnonzero(ids % 50 == 0):
+            s = v @ v[at]
+            s[at] = -9
+            mine = got[ids[at]]
+            assert len({i for i, _ in mine} - {ids[at]}) == 5
+            assert np.abs(s[np.searchsorted(ids, [i for i, _ in mine])] - np.sort(s)[:-6:-1]).max() < 1e-13
+            assert np.abs(np.array([x for _, x in mine]) - np.sort(s)[:-6:-1]).max() < 1e-13
+    copies = range(len(rows) - 900, len(rows))
+    assert all([i for i, _ in got[q]] == [i for i in copies if i != q][:5] for q in got if q in copies)

@@ -1,45 +1,51 @@
-"""Approximate nearest neighbours by additive quantisation.
+"""Nearest neighbours by additive quantisation, with an exact check of all that the codes leave open.
 
 Vectors are scaled to unit length. STAGES codebooks of CENTRES full-dimensional centres each are trained one after
 the other on the residuals of a bounded sample (SAMPLE rows, drawn by a hash of vec_id). A vector's code is the best
-sum of one centre from each codebook that a beam of BEAM partial sums finds; beside the code stands the squared norm
-of that sum. A query scores all codes by tables of its products with all centres, STAGES look-ups a vector, over the
-norm; the DEPTH best of each block of codes go on, and all that may still be among a query's best are reranked on
-their original vectors.
-
-Codes and queries are packed into blocks, and each pair of a block of queries and a block of codes is one small task
-record: no task holds all codes or all queries, and nothing that grows with the input is broadcast. Only the trained
-codebooks are.
-
-Defined cases: vectors null, zero, or holding null or non-finite components take no part on either side, nor do those
-of a length other than the sample's most common one; a null vec_id takes no part; a query's own vec_id is no
-candidate; ties go to the smaller vec_id; repeated rows of one vec_id and vector count once; empty tables give no
-rows; other columns are ignored.
+sum of one centre from each codebook that a beam of BEAM partial sums finds; beside the code stand the squared norm
+of that sum and its angle to the vector. A query scores all codes of a block by tables of its products with all
+centres, STAGES look-ups a vector, over the norm. The exact cosines of the DEPTH best give a threshold, and by the
+triangle inequality of angles a code's score and angle bound its vector's cosine: each vector whose bound reaches the
+threshold is compared with the query in double precision. So no vector is missed, however poor the codes are: they
+decide how many vectors are compared, not which are found.
+
+Codes with their vectors, and queries, are packed into blocks, and each pair of a block of queries and a block of codes
+is one small task record, of which the k best of each query come out: no task holds all codes or all queries, and nothing
+that grows with the input is broadcast. Only the trained codebooks are.
+
+Defined cases: vectors null, zero, or holding null or non-finite components take no part on either side; those of
+different lengths are no candidates of each other (each length with CENTRES rows in the sample has codebooks of its
+own, others are compared without); a null vec_id takes no part; a query's own vec_id is no candidate; ties go to the
+smaller vec_id; repeated rows of one vec_id and vector count once; empty tables give no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import materialize
 
-STAGES, CENTRES, BEAM, SAMPLE, DEPTH, BLOCK, QUERIES = 16, 256, 4, 16_384, 300, 1 << 16, 1 << 9
+STAGES, CENTRES, BEAM, SAMPLE, DEPTH, BLOCK, QUERIES = 16, 256, 4, 16_384, 300, 1 << 13, 1 << 13
+#: Numbers in a block of vectors, and in the sample; queries scored at once.
+BLOCK_NUMBERS, SAMPLE_NUMBERS, ASKED = 1 << 21, 1 << 24, 128
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """vec_id and unit (array of double), one row for each different usable row."""
+    """vec_id, v (array of double) and its length, one row for each different usable row; what is too large or small to be squared is scaled."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    kept = rows.where("vec_id is not null and embedding is not null").where(fine).withColumn("length", length).where("length > 0 and length < double('infinity')")
-    return kept.select("vec_id", v.alias("v"), "length").dropDuplicates(["vec_id", "v"])
+    kept = rows.where("vec_id is not null and embedding is not null").where(fine).select("vec_id", v.alias("v"))
+    kept = kept.withColumn("peak", F.greatest(F.array_max("v"), -F.array_min("v"))).where("peak > 0")
+    kept = kept.withColumn("v", F.when(F.col("peak").between(1e-100, 1e100), F.col("v")).otherwise(F.transform("v", lambda x: x / F.col("peak"))))
+    return kept.select("vec_id", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("length")).dropDuplicates(["vec_id", "v"])
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -86,11 +92,62 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
 
 def score(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
     """Approximate cosines (codes x queries) of unit queries, by look-up."""
-    tables = np.ascontiguousarray(np.einsum("skd,qd->skq", books, queries.astype(np.float32)))
-    out = tables[0][codes[:, 0]]
-    for s in range(1, len(books)):
+    tables = np.matmul(books, queries.astype(np.float32).T)
+    out = np.zeros((len(codes), len(queries)), np.float32)
+    for s in range(len(books)):
         out += tables[s][codes[:, s]]
-    return out / np.sqrt(np.maximum(norms, 1e-12))[:, None]
+    return out / np.sqrt(np.maximum(norms, 1e-12)).astype(np.float32)[:, None]
+
+
+def angles(x: np.ndarray, books: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared norms of what the codes stand for, and its angles to the unit vectors x, rounded up."""
+    sums = np.zeros(x.shape)
+    for book, centre in zip(books, codes.T):
+        sums += book[centre]
+    norms = (sums**2).sum(1)
+    apart = np.sqrt(((x - sums / np.sqrt(np.maximum(norms, 1e-12))[:, None]) ** 2).sum(1))
+    return norms, np.where(norms > 1e-6, 2 * np.arcsin(np.minimum(apart / 2, 1)) + 1e-5, np.pi)
+
+
+def bounds(near: np.ndarray, books: np.ndarray, norms: np.ndarray, angle: np.ndarray) -> np.ndarray:
+    """What the cosines can be at most, where near (queries x codes) are the scores. Rounding of single precision is allowed for."""
+    reach = np.sqrt((books**2).sum(2)).max(1, initial=0).sum()
+    slack = (books.shape[2] + len(books) + 8) * 2.0**-23 * reach / np.sqrt(np.maximum(norms, 1e-12)) + 1e-6
+    top = np.clip(near + slack.astype(np.float32), -1, 1)
+    cos, sin = np.cos(angle).astype(np.float32), np.sin(angle).astype(np.float32)
+    return np.where(top < cos, top * cos + np.sqrt((1 - top) * (1 + top)) * sin + np.float32(2e-6), np.float32(2))
+
+
+def nearest(ids: np.ndarray, x: np.ndarray, length: np.ndarray, code: tuple[np.ndarray, ...], asked: np.ndarray, y: np.ndarray, asked_length: np.ndarray, books: np.ndarray, k: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in `asked`, places in `ids` and cosines of the k nearest rows x of each y, all of which are found; code is (codes, norms, angles) of x."""
+    codes, norms, angle = code
+    unit, q = x / length[:, None], y / asked_length[:, None]
+    none = asked[:, None] == ids
+    near = score(q, books, codes, norms).T
+    if len(ids) > max(depth, k):
+        first = np.argpartition(near, -max(depth, k + 1), axis=1)[:, -max(depth, k + 1) :]
+        known = np.stack([unit[at] @ v for at, v in zip(first, q)])
+        known[np.take_along_axis(none, first, 1)] = -np.inf
+        least = np.partition(known, -k, axis=1)[:, -k]
+        rows = np.flatnonzero((bounds(near, books, norms, angle) >= least[:, None]).any(0))
+    else:
+        rows = np.arange(len(ids))
+    exact = q @ unit[rows].T
+    exact[none[:, rows]] = -np.inf
+    least = np.partition(exact, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(q), -np.inf)
+    who, at = np.nonzero((exact >= (least - 8 * (x.shape[1] + 8) * 2.0**-52)[:, None]) & (exact > -np.inf))
+    at = rows[at]
+    cosine = np.zeros(len(at))
+    step = max(1, (1 << 21) // x.shape[1])
+    for lo in range(0, len(at), step):  # in the order of the vectors' numbers, as a plain sum has it
+        left, right, sums = x[at[lo : lo + step]], y[who[lo : lo + step]], cosine[lo : lo + step]
+        for j in range(x.shape[1]):
+            sums += left[:, j] * right[:, j]
+    cosine /= length[at] * asked_length[who]
+    order = np.lexsort((ids[at], -cosine, who))
+    who, at, cosine = who[order], at[order], cosine[order]
+    kept = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[kept], at[kept], cosine[kept]
 
 
 def _packed(df: DataFrame, size: int, total: int, name: str) -> DataFrame:
@@ -99,68 +156,64 @@ def _packed(df: DataFrame, size: int, total: int, name: str) -> DataFrame:
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int, depth: int = DEPTH, block: int = BLOCK, query_block: int = QUERIES, sample: int = SAMPLE) -> DataFrame:
-    """rows, queries (vec_id, embedding) -> query_id, rank, vec_id, score: the k nearest found of each query."""
+    """rows, queries (vec_id, embedding) -> query_id, rank, vec_id, score: the k nearest of each query."""
     spark = rows.sparkSession
-    base = materialize(usable(rows), "ann-rows")
-    drawn = [r["v"] for r in base.select("v", "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
-    out = "query_id long, rank int, vec_id long, score double"
-    if not drawn:
-        return spark.createDataFrame([], out)
-    width = Counter(map(len, drawn)).most_common(1)[0][0]
-    x = np.array([v for v in drawn if len(v) == width])
-    books = train(x / np.linalg.norm(x, axis=1, keepdims=True))
-    sent = spark.sparkContext.broadcast(books)  # STAGES x CENTRES vectors
-    base = base.where(F.size("v") == width)
-    asked = usable(queries).where(F.size("v") == width)
-    n, m = base.count(), asked.count()
+    base = materialize(usable(rows), "ann-rows").withColumn("width", F.size("v"))
+    asked = materialize(usable(queries), "ann-queries").withColumn("width", F.size("v"))
+    (n, numbers), (m, asked_numbers) = (df.agg(F.count("*"), F.sum("width")).first() for df in (base, asked))
+    if not n or not m:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sample = min(sample, max(CENTRES, SAMPLE_NUMBERS * n // numbers))
+    share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) <= min(1.0, 2 * sample / n + 1e-4) * (1 << 40)
+    drawn = base.where(share).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()["v"].combine_chunks()
+    books = {}
+    for width, count in zip(*np.unique(sizes := pc.list_value_length(drawn).to_numpy(), return_counts=True)):
+        if count >= CENTRES or len(drawn) == n == count:
+            x = pc.list_flatten(drawn.filter(sizes == width)).to_numpy().reshape(-1, width)
+            peak = np.linalg.norm(x, axis=1, keepdims=True)
+            books[int(width)] = train(x / peak)
+    sent = spark.sparkContext.broadcast(books)  # STAGES x CENTRES vectors for each length
+    block, query_block = (max(1, min(size, BLOCK_NUMBERS * rows_ // total)) for size, rows_, total in ((block, n, numbers), (query_block, m, asked_numbers)))
+    single = isinstance(rows.schema["embedding"].dataType.elementType, FloatType)
+
+    def own(width: int) -> np.ndarray:
+        return sent.value.get(width, np.zeros((0, 1, width), np.float32))
 
     def pack(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in it:
-            for lo in range(0, len(part), 4096):
-                p = part.iloc[lo : lo + 4096]
-                v = np.stack(p["v"].to_numpy())
-                codes, norms = encode(v / p["length"].to_numpy()[:, None], sent.value)
-                yield pd.DataFrame({"block": p["block"], "vec_id": p["vec_id"], "code": [c.tobytes() for c in codes], "norm": norms.astype(np.float32)})
-
-    codes = _packed(base, block, n, "block").mapInPandas(pack, "block int, vec_id long, code binary, norm float")
+            for width, of in part.groupby("width"):
+                step = max(1, min(4096, (1 << 18) // width))
+                for lo in range(0, len(of), step):
+                    p = of.iloc[lo : lo + step]
+                    v = np.stack(p["v"].to_numpy())
+                    unit, books = v / p["length"].to_numpy()[:, None], own(width)
+                    codes = encode(unit, books)[0]
+                    norms, angle = angles(unit, books, codes)
+                    vectors = v.astype("<f4" if single else "<f8")
+                    yield pd.DataFrame({"width": width, "block": p["block"], "vec_id": p["vec_id"], "length": p["length"], "code": [c.tobytes() for c in codes], "norm": norms, "angle": angle, "vector": [x.tobytes() for x in vectors]})
+
+    codes = _packed(base, block, n, "block").mapInPandas(pack, "width int, block int, vec_id long, length double, code binary, norm double, angle double, vector binary")
     q_blocks, c_blocks = max(1, -(-m // query_block)), max(1, -(-n // block))
-    tiles_q = _packed(asked, query_block, m, "qb").select("qb", F.col("vec_id").alias("query_id"), "v", "length", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("block"))
+    tiles_q = _packed(asked, query_block, m, "qb").select("width", "qb", F.col("vec_id").alias("query_id"), "v", "length", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("block"))
     codes = materialize(codes, "ann-codes").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
     def tile(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "near": np.zeros(0)})
-        if not len(left) or not len(right):
-            return empty
-        right = right.sort_values("vec_id", kind="stable")
-        ids, norms = right["vec_id"].to_numpy(), right["norm"].to_numpy()
-        code = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
-        q = np.stack(left["v"].to_numpy()) / left["length"].to_numpy()[:, None]
-        qid, found = left["query_id"].to_numpy(), []
-        best_near = np.full((len(q), 0), 0, np.float32)
-        best_at = np.zeros((len(q), 0), np.int64)
-        for lo in range(0, len(code), 8192):  # keeps the scores of a few codes at a time
-            near = score(q, sent.value, code[lo : lo + 8192], norms[lo : lo + 8192]).T
-            near[qid[:, None] == ids[None, lo : lo + 8192]] = -np.inf
-            best_near = np.concatenate([best_near, near], 1)
-            best_at = np.concatenate([best_at, np.broadcast_to(np.arange(lo, lo + near.shape[1]), near.shape)], 1)
-            if best_near.shape[1] > depth:  # of equal scores the smaller vec_id stays
-                cut = np.partition(best_near, -depth, axis=1)[:, -depth]
-                over, equal = best_near > cut[:, None], best_near == cut[:, None]
-                room = depth - over.sum(1)
-                keep = over | (equal & (np.cumsum(equal, 1) <= room[:, None]))
-                best_near, best_at = best_near[keep].reshape(len(q), depth), best_at[keep].reshape(len(q), depth)
-        for i in range(len(q)):
-            ok = best_near[i] > -np.inf
-            found.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids[best_at[i][ok]], "near": best_near[i][ok].astype(float)}))
-        return pd.concat(found) if found else empty
-
-    near = tiles_q.groupBy("qb", "block").cogroup(codes.groupBy("qb", "block")).applyInPandas(tile, "query_id long, vec_id long, near double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    best = near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= depth).select("query_id", "vec_id")
-    pairs = best.join(base.select("vec_id", F.col("v").alias("x"), F.col("length").alias("lx")), "vec_id").join(
-        asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("y"), F.col("length").alias("ly")), "query_id"
-    )
-    exact = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) / (F.col("lx") * F.col("ly"))
+        found = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(left) and len(right):
+            books = own(int(key[0]))
+            right = right.sort_values("vec_id", kind="stable")
+            right = right[right.groupby("vector").cumcount() <= k]  # of equal vectors no query takes more, its own left out
+            ids, length = right["vec_id"].to_numpy(), right["length"].to_numpy()
+            x = np.frombuffer(b"".join(right["vector"]), "<f4" if single else "<f8").reshape(len(right), -1).astype(float)
+            code = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1), right["norm"].to_numpy(), right["angle"].to_numpy()
+            for lo in range(0, len(left), ASKED):
+                part = left.iloc[lo : lo + ASKED]
+                qid = part["query_id"].to_numpy()
+                who, at, cosine = nearest(ids, x, length, code, qid, np.stack(part["v"].to_numpy()), part["length"].to_numpy(), books, k, depth)
+                found.append(pd.DataFrame({"query_id": qid[who], "vec_id": ids[at], "score": cosine}))
+        return pd.concat(found)
+
+    keys = ("width", "qb", "block")
+    near = tiles_q.groupBy(*keys).cogroup(codes.groupBy(*keys)).applyInPandas(tile, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = pairs.select("query_id", "vec_id", exact.alias("score")).withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
