@@ -1,13 +1,13 @@
 """Nearest neighbours by additive quantisation, with an exact check of all that the codes leave open.
 
 Vectors are scaled to unit length. STAGES codebooks of CENTRES full-dimensional centres each are trained one after
-the other on the residuals of a bounded sample (SAMPLE rows, drawn by a hash of vec_id). A vector's code is the best
-sum of one centre from each codebook that a beam of BEAM partial sums finds; beside the code stand the squared norm
-of that sum and its angle to the vector. A query scores all codes of a block by tables of its products with all
-centres, STAGES look-ups a vector, over the norm. The exact cosines of the DEPTH best give a threshold, and by the
-triangle inequality of angles a code's score and angle bound its vector's cosine: each vector whose bound reaches the
-threshold is compared with the query in double precision. So no vector is missed, however poor the codes are: they
-decide how many vectors are compared, not which are found.
+the other on the residuals of a bounded sample (SAMPLE rows, fewer where that is more than SAMPLE_NUMBERS numbers, drawn
+by a hash of vec_id). A vector's code is the best sum of one centre from each codebook that a beam of BEAM partial sums
+finds; beside the code stand the squared norm of that sum and its angle to the vector. A query scores all codes of a
+block by tables of its products with all centres, STAGES look-ups a vector, over the norm. The exact cosines of the
+DEPTH best give a threshold, and by the triangle inequality of angles a code's score and angle bound its vector's cosine:
+each vector whose bound reaches the threshold is compared with the query in double precision. So no vector is missed,
+however poor the codes are: they decide how many vectors are compared, not which are found.
 
 Codes with their vectors, and queries, are packed into blocks, and each pair of a block of queries and a block of codes
 is one small task record, of which the k best of each query come out: no task holds all codes or all queries, and nothing
@@ -35,7 +35,7 @@ from .common import materialize
 
 STAGES, CENTRES, BEAM, SAMPLE, DEPTH, BLOCK, QUERIES = 16, 256, 4, 16_384, 300, 1 << 13, 1 << 13
 #: Numbers in a block of vectors, and in the sample; queries scored at once.
-BLOCK_NUMBERS, SAMPLE_NUMBERS, ASKED = 1 << 21, 1 << 24, 128
+BLOCK_NUMBERS, SAMPLE_NUMBERS, ASKED = 1 << 21, 1 << 22, 128
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -170,8 +170,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, depth: int = DEPTH, bloc
     for width, count in zip(*np.unique(sizes := pc.list_value_length(drawn).to_numpy(), return_counts=True)):
         if count >= CENTRES or len(drawn) == n == count:
             x = pc.list_flatten(drawn.filter(sizes == width)).to_numpy().reshape(-1, width)
-            peak = np.linalg.norm(x, axis=1, keepdims=True)
-            books[int(width)] = train(x / peak)
+            books[int(width)] = train(x / np.linalg.norm(x, axis=1, keepdims=True))
     sent = spark.sparkContext.broadcast(books)  # STAGES x CENTRES vectors for each length
     block, query_block = (max(1, min(size, BLOCK_NUMBERS * rows_ // total)) for size, rows_, total in ((block, n, numbers), (query_block, m, asked_numbers)))
     single = isinstance(rows.schema["embedding"].dataType.elementType, FloatType)
